@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, mixing, sharding
+import public_tokenizers
+
+from tessella.llm import byte_bpe, exact_dedup, mixing, sharding, simhash, sketch
 from tessella.llm.common import documents
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -18,5 +22,18 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_sharding)}
+def op5_sketch(spark, sf_dir):
+    return sketch.neighbours_fingerprinted(documents(spark, sf_dir))
+
+
+def op7_byte_bpe(spark, sf_dir):
+    coded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN).drop("text")
+    return byte_bpe.digests(byte_bpe.decode(coded, RANKS, public_tokenizers.PATTERN))
+
+
+def op8_simhash(spark, sf_dir):
+    return simhash.digest_columns(simhash.near_duplicates(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op7_byte_bpe, op8_simhash)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
