@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessella.llm import byte_bpe, exact_dedup, mixing, sharding, simhash, sketch
+from tessella.llm import byte_bpe, exact_dedup, id_store, mixing, sharding, simhash, sketch, substring
 from tessella.llm.common import documents
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -26,6 +27,10 @@ def op5_sketch(spark, sf_dir):
     return sketch.neighbours_fingerprinted(documents(spark, sf_dir))
 
 
+def op6_id_store(spark, sf_dir):
+    return id_store.digests(id_store.stored(documents(spark, sf_dir), TOKENIZER))
+
+
 def op7_byte_bpe(spark, sf_dir):
     coded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN).drop("text")
     return byte_bpe.digests(byte_bpe.decode(coded, RANKS, public_tokenizers.PATTERN))
@@ -35,5 +40,9 @@ def op8_simhash(spark, sf_dir):
     return simhash.digest_columns(simhash.near_duplicates(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op7_byte_bpe, op8_simhash)}
+def op9_substring(spark, sf_dir):
+    return substring.summary(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op6_id_store, op7_byte_bpe, op8_simhash, op9_substring)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
