@@ -128,7 +128,8 @@ def block_uses(docs: DataFrame, weights=(3, 1, 2), share=1.5, limit=2, block=BLO
     # One row per source is broadcast: mixing weights are set by hand for each.
     cut = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))))
     lo, hi = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return cut.join(taken, ["src", "block"], "left").select(
+    # Spark's estimate of taken doesn't see the explode in it, so it must be told to shuffle.
+    return cut.join(taken.hint("merge"), ["src", "block"], "left").select(
         "doc_id", "source", "size", "source_size", "target", "all_before", (lo - F.col("start")).alias("from_word"), F.coalesce(hi - lo, F.lit(0)).alias("words"), F.coalesce("uses", F.lit(0)).alias("uses")
     )
 
