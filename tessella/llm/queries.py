@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessella.llm import byte_bpe, exact_dedup, id_store, mixing, sharding, simhash, sketch, substring
+from tessella.llm import byte_bpe, exact_dedup, id_store, lattice, mixing, sharding, simhash, sketch, substring
 from tessella.llm.common import documents
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_lattice(spark, sf_dir):
+    return lattice.score(documents(spark, sf_dir), PIECES)
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -44,5 +49,5 @@ def op9_substring(spark, sf_dir):
     return substring.summary(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op6_id_store, op7_byte_bpe, op8_simhash, op9_substring)}
+QUERIES = {f.__name__: f for f in (op1_lattice, op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op6_id_store, op7_byte_bpe, op8_simhash, op9_substring)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
