@@ -1,6 +1,6 @@
 """SimHash near-deduplication over a segment-popcount embedding.
 
-A 64-bit fingerprint maps to the bit counts of its 16 segments of 4 bits.  The
+A 64-bit fingerprint maps to the bit counts of its 32 segments of 2 bits.  The
 Manhattan distance of two such vectors is at most the number of bits in which
 the fingerprints differ, so fingerprints that link at RADIUS = 2 bits lie within
 2 of each other on this grid, and two vectors within 2 share a grid point within
@@ -56,17 +56,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def embedding(fp: str) -> Column:
-    """The bit counts of the 16 segments, 4 bits each in one long."""
-    ones = 1229782938247303441  # 0x1111...
-    return F.expr(" + ".join(f"(shiftrightunsigned({fp}, {k}) & {ones}L)" for k in range(4)))
+    """The bit counts (0 to 2) of the 32 segments, 2 bits each in one long."""
+    odd = 6148914691236517205  # 0x5555...
+    low, high = f"({fp} & {odd}L)", f"(shiftrightunsigned({fp}, 1) & {odd}L)"
+    return F.expr(f"shiftleft({low} & {high}, 1) | ({low} ^ {high})")
 
 
 def grid_points(vector: str) -> Column:
     """The points of the grid within Manhattan distance 1."""
     near = [vector]
-    for k in range(0, 64, 4):
-        count, one = f"(shiftrightunsigned({vector}, {k}) & 15L)", f"shiftleft(1L, {k})"
-        near += [f"CASE WHEN {count} < 4 THEN {vector} + {one} END", f"CASE WHEN {count} > 0 THEN {vector} - {one} END"]
+    for k in range(0, 64, 2):
+        count, others = f"(shiftrightunsigned({vector}, {k}) & 3L)", f"({vector} & ~shiftleft(3L, {k}))"
+        near += [f"CASE WHEN {count} < 2 THEN {others} | shiftleft({count} + 1L, {k}) END", f"CASE WHEN {count} > 0 THEN {others} | shiftleft({count} - 1L, {k}) END"]
     return F.array_compact(F.expr(f"array({', '.join(near)})"))
 
 
