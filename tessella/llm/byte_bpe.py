@@ -210,7 +210,7 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return _with_binary(coded, "ids", "decoded", make)
 
 
-def digests(coded: DataFrame) -> DataFrame:
+def digests(coded: DataFrame, *more: str) -> DataFrame:
     return coded.select(
-        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", *more, F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

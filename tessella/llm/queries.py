@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessella.llm import byte_bpe, exact_dedup, id_store, lattice, mixing, sharding, simhash, sketch, substring
+from tessella.llm import byte_bpe, exact_dedup, id_store, lattice, mixing, quality, sharding, simhash, sketch, substring
 from tessella.llm.common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -49,5 +49,9 @@ def op9_substring(spark, sf_dir):
     return substring.summary(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice, op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op6_id_store, op7_byte_bpe, op8_simhash, op9_substring)}
+def op10_quality(spark, sf_dir):
+    return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice, op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op6_id_store, op7_byte_bpe, op8_simhash, op9_substring, op10_quality)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
