@@ -1,8 +1,9 @@
 """Token ids in raw shards with a minimal perfect hash index.
 
-A shard is a file of little-endian unsigned 32-bit ids: the ids of its
-documents one after another, each followed by the end id, shards and documents
-in ascending doc_id order.  The index deals the keys (doc_id and, for repeated
+A shard is a file of little-endian unsigned ids, of 16 bits where the
+vocabulary has at most 65,536 and else of 32: the ids of its documents one
+after another, each followed by the end id, shards and documents in ascending
+doc_id order.  The index deals the keys (doc_id and, for repeated
 doc_ids, the number of the copy) to buckets by hash.  A bucket is a minimal
 perfect hash: cascading bit arrays in which a key that is alone at its place
 has a bit, and the rank of the bit is the key's slot.  Slots hold a fingerprint
@@ -17,7 +18,9 @@ gives an index without buckets and no rows.
 from __future__ import annotations
 
 import os
+import string
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,8 @@ END = 2
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 20_000
 LEVELS, SPARE = 24, 2
-_TRAILING = ".,;:!?#$%&*\"()[]"
+#: ASCII marks: no letters, digits or blanks.
+MARKS = string.punctuation
 
 
 def open_store(uri: str):
@@ -42,27 +46,51 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def unit_encoder(tokenizer_json: str):
-    """Encodes units with the tokenizers library; a word and the marks after it are pre-tokens of their own, so each is encoded once."""
+def _byte_letters() -> dict[int, int]:
+    """Code points that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+def unit_encoder(tokenizer_json: str, pattern: str):
+    """Encodes units with the BPE model of the tokenizers library, each distinct pre-token once.
+
+    The pre-tokens are cut here, by the pattern of the tokenizer's byte-level
+    pre-tokeniser; the library's own encode() gives the same ids at three times
+    the cost (a test holds one against the other).
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True
+    tokenize, split, letters = Tokenizer.from_str(tokenizer_json).model.tokenize, regex.compile(pattern).findall, _byte_letters()
+
+    def piece(p: str) -> bytes:
+        return array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+
+    def pieces(unit: str) -> list[str]:
+        word = unit.rstrip(MARKS)
+        if word[1:].isalpha() and word[0] == " ":  # a word, and the marks after it
+            return [word, unit[len(word) :]] if len(word) < len(unit) else [unit]
+        return split(unit)
 
     def encode(units: list[str]) -> list[bytes]:
-        cut = []
-        for u in units:
-            body = u.rstrip(_TRAILING)
-            cut.append((body, u[len(body) :]) if body and body[-1].isalnum() else (u, ""))
-        distinct = list({p for pair in cut for p in pair})
-        known = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(distinct, tokenizer.encode_batch_fast(distinct, add_special_tokens=False), strict=True)}
-        return [known[a] + known[b] for a, b in cut]
+        cut = list(map(pieces, units))
+        known = {p: piece(p) for p in set().union(*cut)}
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
 
     return encode
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def id_width(tokenizer_path: str) -> int:
+    """Bytes of an id in the shards."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
+
+
+def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards; gives doc_id, copy, shard, file, offset, n_tokens of each document.
 
     A task that runs again writes a file of another name; the rows of the run
@@ -73,11 +101,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_bytes:
         tokenizer = spark.sparkContext.broadcast(f.read())  # one vocabulary file: bounded
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = id_width(tokenizer_path)
     ordered = rows.repartitionByRange(int(size // shard_bytes) + 1, "doc_id").sortWithinPartitions("doc_id", "text")
     kinds = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        encode, end = Remembering(unit_encoder(tokenizer.value)), END.to_bytes(4, "little")
+        encode, end, kind = Remembering(unit_encoder(tokenizer.value, pattern)), END.to_bytes(width, "little"), f"<u{width}"
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
         store, base = open_store(folder)
@@ -91,9 +120,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_bytes:
                     if sink is None:
                         store.create_dir(base, recursive=True)
                         sink = store.open_output_stream(f"{base}/{name}")
-                    sink.write(coded + end)
-                    out.append((doc_id, copy, shard, name, at, len(coded) // 4 + 1))
-                    before, at = doc_id, at + len(coded) + 4
+                    sink.write(np.frombuffer(coded, dtype="<u4").astype(kind).tobytes() + end)
+                    n = len(coded) // 4 + 1
+                    out.append((doc_id, copy, shard, name, at, n))
+                    before, at = doc_id, at + n * width
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
         if sink is not None:
             sink.close()
@@ -186,8 +216,8 @@ def look_up(wanted: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(run, "doc_id long, copy int, shard int, offset long, n_tokens long")
 
 
-def read_ids(found: DataFrame, catalog: DataFrame, folder: str) -> DataFrame:
-    """found with ``ids`` (bytes) and ``start`` (ids of all documents before), read from the shards, each in order of offset."""
+def read_ids(found: DataFrame, catalog: DataFrame, folder: str, width: int) -> DataFrame:
+    """found with ``ids`` (little-endian unsigned 32-bit) and ``start`` (ids of all documents before), read from the shards, each in order of offset."""
     sizes = catalog.groupBy("shard").agg(F.first("file").alias("file"), F.sum("n_tokens").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("shard", "file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))  # one row for SHARD_BYTES of text
@@ -202,8 +232,8 @@ def read_ids(found: DataFrame, catalog: DataFrame, folder: str) -> DataFrame:
             for r in b.to_pylist():
                 if r["file"] != name:
                     name, opened = r["file"], store.open_input_file(f"{root}/{r['file']}")
-                ids = opened.read_at(r["n_tokens"] * 4, r["offset"])
-                out.append((r["doc_id"], r["copy"], r["base"] + r["offset"] // 4, ids))
+                ids = np.frombuffer(opened.read_at(r["n_tokens"] * width, r["offset"]), dtype=f"<u{width}").astype("<u4").tobytes()
+                out.append((r["doc_id"], r["copy"], r["base"] + r["offset"] // width, ids))
                 size += len(ids)
                 if size > SHARD_BYTES // 4:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
@@ -215,14 +245,14 @@ def read_ids(found: DataFrame, catalog: DataFrame, folder: str) -> DataFrame:
     return placed.select("doc_id", "copy", "base", "file", "offset", "n_tokens").mapInArrow(run, kinds)
 
 
-def stored(docs: DataFrame, tokenizer_path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def stored(docs: DataFrame, tokenizer_path: str, pattern: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes docs to a new store in the shared folder and reads every document back through the index: doc_id, copy, start, ids."""
     folder = f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
-    catalog = write_shards(docs, tokenizer_path, folder, shard_bytes)
+    catalog = write_shards(docs, tokenizer_path, pattern, folder, shard_bytes)
     index, buckets = build_index(catalog)
     copies = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
     wanted = copies.select("doc_id", F.explode(F.expr("sequence(0, n - 1)")).alias("copy"))
-    return read_ids(look_up(wanted, index, buckets), catalog, folder)
+    return read_ids(look_up(wanted, index, buckets), catalog, folder, id_width(tokenizer_path))
 
 
 def digests(ids: DataFrame) -> DataFrame:
