@@ -7,7 +7,8 @@ the widest matrix, whose rounds would cost the square of their length, merge in
 the same order by a heap.
 
 Defined results: null and empty texts have no ids; text that looks like a
-special token is ordinary text; every row of the input gives one row.
+special token is ordinary text; every row of the input gives one row; columns
+ids and decoded of the input are replaced.
 """
 
 from __future__ import annotations
@@ -181,6 +182,7 @@ class Codec:
 
 def _with_binary(df: DataFrame, source: str, name: str, make) -> DataFrame:
     """df with the binary column ``name``; make() gives, in the task, what maps a list of values of ``source`` to it."""
+    df = df.drop(name)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches):

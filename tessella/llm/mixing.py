@@ -154,7 +154,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     uses = block_uses(docs, **options).where("uses > 0")
     turns = uses.withColumn("_turn", F.explode(F.expr("sequence(1L, uses)")))
     parts = turns.groupBy("doc_id", "all_before", "_turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
-    same = parts.withColumnRenamed("doc_id", "_id")
+    same = parts.select(F.col("doc_id").alias("_id"), "_parts")
     numbered = docs.join(same, docs.doc_id.eqNullSafe(same._id))
     words = F.filter(F.split(text_or_empty(), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p.from_word + 1).cast("int"), p.words.cast("int")))), " ")

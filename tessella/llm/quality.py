@@ -198,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def classify(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
-    """docs with score and predicted (1: keep)."""
+    """docs with score and predicted (1: keep), which replace columns of these names."""
+    docs = docs.drop("score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of bins: some kB
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

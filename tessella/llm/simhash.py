@@ -13,7 +13,8 @@ documents as all their pairs, so dense groups of near copies stay linear.
 
 Defined results: null and empty texts have fingerprint zero; of fewer than
 three words the whole sequence is the shingle; repeated rows are documents of
-their own; a null doc_id is never the smallest; an empty table gives no rows.
+their own; a null doc_id is never the smallest, and rows that only link to such
+stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
