@@ -30,7 +30,8 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ ROUNDS = 3
 #: Languages that are learned apart at most.
 LANGUAGES = 8
 #: Cells (words x bytes x piece lengths) that are worked on at a time.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: The end of a text, a token that no word can be.
 END = b" "
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -97,29 +98,52 @@ class Lattice:
             h ^= h >> np.uint64(29)
         return h
 
-    def _pieces_at(self, data: np.ndarray) -> list[np.ndarray]:
-        """For each length l: the piece that begins at each place of each row (-1: none), an array rows x (width - l + 1)."""
-        n, width = data.shape
-        h, out = np.zeros((n, width), dtype=np.uint64), []
+    def _pieces_at(self, data: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each length l: the piece that begins at each place of each word (-1: none), places first, and at which places any word has one."""
+        letters = np.ascontiguousarray(data.T).astype(np.uint64) + np.uint64(1)
+        width, n = letters.shape
+        h, out, there = np.zeros((width, n), dtype=np.uint64), [], []
         for size in range(1, min(self.longest, width) + 1):
-            h = (h[:, : width - size + 1] + data[:, size - 1 :] + np.uint64(1)) * _BASE
+            h = (h[: width - size + 1] + letters[size - 1 :]) * _BASE
             h ^= h >> np.uint64(29)
             ids = np.full(h.shape, -1, dtype=np.int32)
-            ask = np.nonzero(self._maybe[h >> np.uint64(64 - _FILTER_BITS)])
-            at = np.minimum(np.searchsorted(self._sorted, h[ask]), len(self._sorted) - 1)
-            ids[ask] = np.where(self._sorted[at] == h[ask], self._order[at], -1)
+            ask = np.flatnonzero(self._maybe[h >> np.uint64(64 - _FILTER_BITS)])
+            asked = h.reshape(-1)[ask]
+            at = np.minimum(np.searchsorted(self._sorted, asked), len(self._sorted) - 1)
+            ids.reshape(-1)[ask] = np.where(self._sorted[at] == asked, self._order[at], -1)
             out.append(ids)
-        return out
+            there.append((ids >= 0).any(axis=1))
+        return out, there
+
+    def _scored(self, ids: list[np.ndarray], model: int) -> list[np.ndarray]:
+        logs = np.append(self.logs[model], -np.inf)  # what -1 finds
+        return [logs[x] for x in ids]
 
-    def _forward(self, ids: list[np.ndarray], logs: np.ndarray, n: int, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        scores = [np.where(x >= 0, logs[x], -np.inf) for x in ids]
-        alpha = np.full((n, width + 1), -np.inf)
-        alpha[:, 0] = 0.0
+    @staticmethod
+    def _log_sum(ways: list[np.ndarray], n: int) -> np.ndarray:
+        """Log of the sum of exponentials of the arrays, -inf where all are."""
+        if len(ways) < 2:
+            return ways[0] if ways else np.full(n, -np.inf)
+        ways = np.stack(ways)
+        top = ways.max(axis=0)
+        top[top == -np.inf] = 0.0
+        with np.errstate(divide="ignore"):
+            return top + np.log(np.exp(ways - top).sum(axis=0))
+
+    def _forward(self, scores: list[np.ndarray], there: list[np.ndarray], n: int, width: int) -> np.ndarray:
+        """alpha, places first: log of the sum over all segmentations of what stands before each place."""
+        alpha = np.full((width + 1, n), -np.inf)
+        alpha[0] = 0.0
         for end in range(1, width + 1):
-            ways = np.stack([alpha[:, end - size] + scores[size - 1][:, end - size] for size in range(1, min(len(ids), end) + 1)])
-            top = ways.max(axis=0)
-            alpha[:, end] = top + np.log(np.exp(ways - top).sum(axis=0))
-        return alpha, scores
+            alpha[end] = self._log_sum([alpha[end - size] + scores[size - 1][end - size] for size in range(1, min(len(scores), end) + 1) if there[size - 1][end - size]], n)
+        return alpha
+
+    def _backward(self, scores: list[np.ndarray], there: list[np.ndarray], n: int, width: int) -> np.ndarray:
+        beta = np.full((width + 1, n), -np.inf)
+        beta[width] = 0.0
+        for begin in range(width - 1, -1, -1):
+            beta[begin] = self._log_sum([beta[begin + size] + scores[size - 1][begin] for size in range(1, min(len(scores), width - begin) + 1) if there[size - 1][begin]], n)
+        return beta
 
     def batches(self, words: list[bytes]):
         """(places in words, matrix of bytes) for words of equal length."""
@@ -136,9 +160,9 @@ class Lattice:
         """models x words: natural log of the sum over all segmentations of each word (with its blank)."""
         out = np.zeros((len(self.logs), len(words)))
         for places, data in self.batches(words):
-            ids = self._pieces_at(data)
-            for k, logs in enumerate(self.logs):
-                out[k, places] = self._forward(ids, logs, *data.shape)[0][:, -1]
+            ids, there = self._pieces_at(data)
+            for k in range(len(self.logs)):
+                out[k, places] = self._forward(self._scored(ids, k), there, *data.shape)[-1]
         return out
 
     def expected(self, words: list[bytes], model: int = 0) -> np.ndarray:
@@ -146,18 +170,15 @@ class Lattice:
         total = np.zeros(self.logs.shape[1])
         for _, data in self.batches(words):
             n, width = data.shape
-            ids = self._pieces_at(data)
-            alpha, scores = self._forward(ids, self.logs[model], n, width)
-            beta = np.full((n, width + 1), -np.inf)
-            beta[:, width] = 0.0
-            for begin in range(width - 1, -1, -1):
-                ways = np.stack([beta[:, begin + size] + scores[size - 1][:, begin] for size in range(1, min(len(ids), width - begin) + 1)])
-                top = np.maximum(ways.max(axis=0), -1e300)  # a place that no segmentation passes
-                beta[:, begin] = top + np.log(np.maximum(np.exp(ways - top).sum(axis=0), 1e-300))
+            ids, there = self._pieces_at(data)
+            scores = self._scored(ids, model)
+            alpha, beta = self._forward(scores, there, n, width), self._backward(scores, there, n, width)
+            alpha, beta, all_ = alpha.reshape(-1), beta.reshape(-1), alpha[-1]
             for size, (piece, score) in enumerate(zip(ids, scores, strict=True), 1):
-                at = piece >= 0
-                use = np.exp(alpha[:, : width - size + 1] + score + beta[:, size:] - alpha[:, -1:])
-                total += np.bincount(piece[at], weights=use[at], minlength=len(total))
+                at = np.flatnonzero(piece >= 0)
+                if len(at):
+                    use = np.exp(alpha[at] + score.reshape(-1)[at] + beta[at + size * n] - all_[at % n])
+                    total += np.bincount(piece.reshape(-1)[at], weights=use, minlength=len(total))
         return total
 
 
@@ -165,10 +186,12 @@ def trains(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
 
-def _languages(docs: DataFrame) -> list[str]:
-    """The most frequent languages of the training texts; all others are one more."""
-    counted = docs.where(trains()).where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang")
-    return [r.lang for r in counted.limit(LANGUAGES).collect()]
+def _languages(docs: DataFrame) -> tuple[list[str], int]:
+    """The most frequent languages of the training texts, and the number of models: one more where other texts (or none) are there."""
+    counted = docs.where(trains()).groupBy("lang").count().orderBy(F.col("lang").isNull(), F.desc("count"), "lang")
+    first = [r.lang for r in counted.limit(LANGUAGES + 1).collect()]
+    known = [x for x in first[:LANGUAGES] if x is not None]
+    return known, len(known) + (len(known) < len(first) or not known)
 
 
 def _block_schema(models: int) -> tuple[pa.Schema, str]:
@@ -183,16 +206,17 @@ class _Block:
 
     def __init__(self, schema: pa.Schema, models: int):
         self.id, self.schema, self.models = uuid.uuid4().int >> 65, schema, models
-        self.known, self.counts, self.rows, self.size = {}, [Counter() for _ in range(models)], [], 0
+        self.known, self.counts, self.rows, self.size = defaultdict(count().__next__), np.zeros((models, 1 << 16), dtype=np.int64), [], 0
 
     def add(self, doc_id: int | None, held_out: bool, model: int, text: bytes) -> None:
         own = Counter(text.lower().split())
         own[END] = 1
-        known = self.known
-        numbers = np.array([known.setdefault(w, len(known)) for w in own], dtype="<i4")
+        numbers, times = np.array(list(map(self.known.__getitem__, own)), dtype="<i4"), np.array(list(own.values()), dtype="<i4")
+        while len(self.known) > self.counts.shape[1]:
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)], axis=1)
         if not held_out:
-            self.counts[model].update(own)
-        self.rows.append((self.id, doc_id, held_out, numbers.tobytes(), np.array(list(own.values()), dtype="<i4").tobytes()))
+            self.counts[model, numbers] += times  # no number comes twice
+        self.rows.append((self.id, doc_id, held_out, numbers.tobytes(), times.tobytes()))
         self.size += len(text)
 
     def _batch(self, columns: list, n: int) -> pa.RecordBatch:
@@ -206,12 +230,11 @@ class _Block:
         words, step = list(self.known), 1 << 16
         for i in range(0, len(words), step):
             some = words[i : i + step]
-            yield self._batch([np.full(len(some), self.id), *[None] * 4, some, range(i, i + len(some)), *([c[w] for w in some] for c in self.counts)], len(some))
+            yield self._batch([np.full(len(some), self.id), *[None] * 4, some, np.arange(i, i + len(some), dtype=np.int32), *self.counts[:, i : i + len(some)]], len(some))
 
 
-def blocks(docs: DataFrame, languages: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, languages: list[str], models: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of two kinds: documents (numbers and counts of their words) and dictionary entries."""
-    models = len(languages) + 1
     schema, ddl = _block_schema(models)
 
     def run(batches):
@@ -264,10 +287,9 @@ def fit_pieces(types: DataFrame, pieces: dict[bytes, float], models: int, rounds
 
 def score(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs (doc_id, lang, text)."""
-    context, languages = docs.sparkSession.sparkContext, _languages(docs)
-    models = len(languages) + 1
+    context, (languages, models) = docs.sparkSession.sparkContext, _languages(docs)
     each = [f"c{k}" for k in range(models)]
-    held = materialise(blocks(docs, languages, block_bytes), "blocks")
+    held = materialise(blocks(docs, languages, models, block_bytes), "blocks")
     entries = held.where("word IS NOT NULL").select(F.col("block").alias("home"), "number", "word", *each)
     types = materialise(entries.groupBy("word").agg(*(F.sum(c).alias(c) for c in each)), "types")
     all_ = sum((F.col(c) for c in each[1:]), F.col(each[0]))
