@@ -29,7 +29,7 @@ LARGE = 1 / 32
 OVERHEAD = 16
 DIMENSIONS = ("size", "tokens", "rows")
 #: What each dimension counts in the choice of a shard; the law is on bytes.
-WEIGHTS = np.array([1.0, 0.25, 0.25])
+WEIGHTS = np.array([1.0, 0.05, 0.02])
 
 
 def place(vectors: np.ndarray, shards: int, weights: np.ndarray = WEIGHTS) -> np.ndarray:
