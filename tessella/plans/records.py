@@ -176,3 +176,37 @@ def m17_readable_rows(spark, sf_dir):
     """Records whose metadata can be read; others are skipped."""
     raw = F.when(F.col("s_suppkey") % 3 == 2, '{"name": broken').otherwise(F.to_json(F.struct(F.col("s_name").alias("name"))))
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.try_parse_json(raw).alias("v")).where("v IS NOT NULL").select("s_suppkey")
+
+
+@query("""SELECT doc_id, doc_id % 50 AS files, doc_id % 101 AS ratio, 0 AS missing FROM documents""")
+def g12_metric_lines(spark, sf_dir):
+    """Numbers read back from rendered lines ``label: n`` and ``label: n%``; a missing label is 0 (x10)."""
+    text = F.concat(F.lit("- Files scanned: "), F.col("doc_id") % 50, F.lit("\n- Weighted-source primary ratio: "), F.col("doc_id") % 101, F.lit("%\n"))
+    rows = _docs(spark, sf_dir).select("doc_id", text.alias("t"))
+    read = lambda label, end="": F.coalesce(F.nullif(F.regexp_extract("t", rf"{label}:\s*(\d+){end}", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    return rows.select("doc_id", read("Files scanned").alias("files"), read("Weighted-source primary ratio", "%").alias("ratio"), read("Gap bullets").alias("missing"))
+
+
+@query("""SELECT user_id, event_id, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS corrections FROM events""")
+def g14_running_corrections(spark, sf_dir):
+    """Corrections (errors) of each user so far, over the log of versions."""
+    from pyspark.sql import Window
+
+    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.count(F.when(F.col("event_type") == "error", 1)).over(so_far).alias("corrections"))
+
+
+@query("""SELECT s_suppkey, '# ' || s_name || chr(10) || chr(10) || '## Work' || chr(10) || 'w' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN chr(10) || chr(10) || '## Persona' || chr(10) || 'p' ELSE '' END AS text FROM supplier""")
+def m16_template(spark, sf_dir):
+    """Artifacts rendered from a template: combined, or the work part alone."""
+    work = F.format_string("# %s\n\n## Work\nw%d", F.col("s_name"), F.col("s_nationkey"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(work, F.when(F.col("s_suppkey") % 2 == 0, "\n\n## Persona\np").otherwise("")).alias("text"))
+
+
+@query("""SELECT coalesce(o.k, n.k) AS heading, CASE WHEN n.k IS NULL THEN 'kept' WHEN o.k IS NULL THEN 'added' ELSE 'replaced' END AS state
+FROM (SELECT source || lang AS k FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT source || lang AS k FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) n ON o.k = n.k""")
+def j6_patch_join(spark, sf_dir):
+    """What a patch does to each heading."""
+    heads = lambda n, name: _docs(spark, sf_dir).where(F.col("doc_id") % n == 0).select(F.concat("source", "lang").alias(name)).distinct()
+    joined = heads(2, "o").join(heads(3, "n"), F.col("o") == F.col("n"), "full_outer")
+    return joined.select(F.coalesce("o", "n").alias("heading"), F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "added").otherwise("replaced").alias("state"))

@@ -162,3 +162,18 @@ def r22_level_equivalence(spark, sf_dir):
     """Levels of a company by a table of ranges."""
     levels = spark.createDataFrame([(0, 10, "L1"), (11, 25, "L2"), (26, 1 << 30, "L3")], "lo int, hi int, level string")
     return table(spark, sf_dir, "part").join(F.broadcast(levels), F.col("p_size").between(F.col("lo"), F.col("hi"))).select("p_partkey", "level")
+
+
+@query("""SELECT source, count(*) >= 40 AND count(DISTINCT lang) >= 4 AND sum(n_chars) >= 100000 AS floors_met FROM documents GROUP BY source""")
+def r14_floors(spark, sf_dir):
+    """Whether the research of each source reaches its floors."""
+    met = (F.count("*") >= 40) & (F.countDistinct("lang") >= 4) & (F.sum("n_chars") >= 100_000)
+    return _docs(spark, sf_dir).groupBy("source").agg(met.alias("floors_met"))
+
+
+@query("""SELECT user_id, arg_min(event_id, (CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 4 WHEN 'view' THEN 5 ELSE 7 END)::BIGINT * 1000000000 + event_id) AS event_id FROM events GROUP BY user_id""")
+def r17_weight_conflict(spark, sf_dir):
+    """Of conflicting sources that of the smaller weight wins, the earlier of equal ones."""
+    weight = F.create_map(*map(F.lit, ["purchase", 1, "signup", 2, "click", 4, "view", 5]))
+    order = F.struct(F.coalesce(F.try_element_at(weight, F.col("event_type")), F.lit(7)), "event_id")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_id", order).alias("event_id"))

@@ -162,3 +162,33 @@ def a2_mail_mime(spark, sf_dir):
     raw = F.when(k % 3 == 0, plain).when(k % 3 == 1, parts).otherwise(F.concat(head, F.lit("\n\n")))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.encode(raw, "utf-8").alias("raw"))
     return mail.parsed(rows, "raw", "EXAMPLE").select("doc_id", F.col("from").alias("sender"), "subject", "body")
+
+
+@query("""SELECT conv_id, turn, role || '@example.com' AS sender, 'turn ' || turn AS subject FROM conversations""")
+def a3_mailbox(spark, sf_dir):
+    """Mailboxes, one of each conversation with a mail of each turn, cut and parsed."""
+    from tessella.sources import mail
+
+    one = F.concat(F.lit("From x\nFrom: "), F.col("role"), F.lit("@example.com\nSubject: turn "), F.col("turn"), F.lit("\n\nsaid something\n\n"))
+    boxes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", one.alias("m")))), lambda x: x.m), "").alias("box"))
+    raw = boxes.select(F.col("conv_id").cast("string").alias("path"), F.encode("box", "utf-8").alias("content")).mapInPandas(mail.split_mailbox, "path string, seq long, raw binary")
+    found = mail.parsed(raw, "raw")
+    return found.select(F.col("path").cast("long").alias("conv_id"), F.substring("subject", 6, 9).cast("long").alias("turn"), F.col("from").alias("sender"), "subject")
+
+
+@query("""SELECT doc_id, 'creator' AS via FROM documents WHERE source = 'src7' UNION ALL SELECT doc_id, 'keyword' FROM documents WHERE contains(text, 'idiot') AND NOT EXISTS (SELECT 1 FROM documents WHERE source = 'nobody')""")
+def a15_creator_or_keyword(spark, sf_dir):
+    """Documents of a creator, and by keyword where a search by creator (nobody) fails."""
+    docs = table(spark, sf_dir, "documents")
+    own = docs.where("source = 'src7'").select("doc_id", F.lit("creator").alias("via"))
+    failed = docs.where("source = 'nobody'").agg(F.count("*").alias("n"))
+    words = docs.where(F.contains("text", F.lit("idiot"))).select("doc_id", F.lit("keyword").alias("via"))
+    return own.unionByName(words.join(F.broadcast(failed), F.col("n") == 0).drop("n"))
+
+
+@query("""SELECT page_id, min(k) AS category FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS h FROM pages) p JOIN (VALUES (1, 'blog'), (2, 'm'), (3, 'www'), (4, 'example')) c(k, t) ON list_contains(string_split(h, '.'), t) GROUP BY page_id""")
+def j4_token_categories(spark, sf_dir):
+    """The first category that shares a token with a host, by a join on tokens instead of a comparison of all pairs."""
+    dimension = spark.createDataFrame([(1, "blog"), (2, "m"), (3, "www"), (4, "example")], "k int, t string")
+    tokens = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split(F.regexp_extract("url", "^https?://([^/?#]+)", 1), r"\.")).alias("t"))
+    return tokens.join(F.broadcast(dimension), "t").groupBy("page_id").agg(F.min("k").alias("category"))
