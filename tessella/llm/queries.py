@@ -54,4 +54,4 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_lattice, op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op6_id_store, op7_byte_bpe, op8_simhash, op9_substring, op10_quality)}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op9_substring": substring.ORACLE}
