@@ -95,9 +95,9 @@ def f1_sender_target(spark, sf_dir):
     return _messages(spark, sf_dir).where(F.contains(F.lower("role"), F.lower(F.lit("User")))).select("conv_id", "turn")
 
 
-@query("SELECT event_id FROM events WHERE user_id = 42 AND event_type <> 'error'")
+@query("SELECT event_id FROM events WHERE user_id = 7 AND event_type <> 'error'")
 def f2_sender_id(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id = 42").where("event_type <> 'error'").select("event_id")
+    return table(spark, sf_dir, "events").where("user_id = 7").where("event_type <> 'error'").select("event_id")
 
 
 @query("""SELECT conv_id, turn, 'export' AS kind FROM conversations WHERE turn % 4 <> 1

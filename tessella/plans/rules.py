@@ -128,11 +128,11 @@ def r16_marker_contexts(spark, sf_dir):
     return table(spark, sf_dir, "events").where("value > 30").groupBy("user_id").agg((F.countDistinct("event_type") >= 3).alias("confirmed"))
 
 
-@query("""WITH v AS (SELECT user_id, event_type AS name, bool_and(value > 1) FILTER (event_id < 5000) AS prev, bool_and(value > 1) FILTER (event_id >= 5000) AS cur FROM events GROUP BY ALL) SELECT user_id, name FROM v WHERE prev AND NOT cur""")
+@query("""WITH v AS (SELECT user_id, event_type AS name, bool_and(value > 1) FILTER (ts < TIMESTAMP '2024-01-16') AS prev, bool_and(value > 1) FILTER (ts >= TIMESTAMP '2024-01-16') AS cur FROM events GROUP BY ALL) SELECT user_id, name FROM v WHERE prev AND NOT cur""")
 def r18_gate_regression(spark, sf_dir):
     """Checks that passed in the first half and no longer do."""
     ok = F.col("value") > 1
-    half = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("name")).agg(F.bool_and(F.when(F.col("event_id") < 5000, ok)).alias("prev"), F.bool_and(F.when(F.col("event_id") >= 5000, ok)).alias("cur"))
+    half = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("name")).agg(F.bool_and(F.when(F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00")), ok)).alias("prev"), F.bool_and(F.when(F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00")), ok)).alias("cur"))
     return half.where("prev AND NOT cur").select("user_id", "name")
 
 

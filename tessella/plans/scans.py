@@ -39,14 +39,18 @@ def a13_bounded_walk(spark, sf_dir):
     return _walk(spark, sf_dir, 2)
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id < 9900")
+@query("""SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events) WHERE event_type <> 'error' OR n < 150""")
 def a10_cursor_pages(spark, sf_dir):
-    """Rows of landed pages of a hundred, up to the first page without a next cursor."""
-    page = F.expr("event_id div 100")
-    pages = table(spark, sf_dir, "events").groupBy(page.alias("page")).agg(F.to_json(F.collect_list(F.struct("event_id", "user_id"))).alias("items"), F.when(F.max("event_id") < 9800, "more").alias("cursor"))
-    last = pages.where("cursor IS NULL").agg(F.min("page").alias("last"))
-    reached = pages.join(F.broadcast(last), F.col("page") <= F.col("last"))  # one row
-    return reached.select(F.explode(F.from_json("items", "array<struct<event_id:long,user_id:long>>")).alias("i")).select("i.*")
+    """Rows of the landed pages of each channel, fifty a page, up to the first page without a next cursor; one channel's third page has none."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    paged = table(spark, sf_dir, "events").select("event_type", "event_id").withColumn("page", F.floor(n / 50))
+    cursor = F.when((F.col("event_type") != "error") | (F.col("page") != 2), "next")
+    pages = paged.groupBy("event_type", "page").agg(F.to_json(F.collect_list(F.struct("event_id"))).alias("items")).withColumn("cursor", cursor)
+    last = pages.where("cursor IS NULL").groupBy("event_type").agg(F.min("page").alias("last"))
+    reached = pages.join(last, "event_type", "left").where("last IS NULL OR page <= last")
+    return reached.select("event_type", F.explode(F.from_json("items", "array<struct<event_id:long>>")).alias("i")).select("event_type", "i.event_id")
 
 
 @query("""SELECT doc_id, source FROM documents WHERE source = 'src3' AND doc_id % 2 = 0
