@@ -32,7 +32,10 @@ from tessella.llm.common import materialise, shared_dir, text_or_empty
 from tessella.llm.units import Remembering, slices
 
 END = 2
-SHARD_BYTES = 16 << 20
+#: Text of a shard: a task remembers what it has encoded, so larger shards encode less anew.
+SHARD_BYTES = 64 << 20
+#: Ids that are read and sent on at a time.
+READ_BYTES = 4 << 20
 BUCKET_KEYS = 20_000
 LEVELS, SPARE = 24, 2
 #: ASCII marks: no letters, digits or blanks.
@@ -235,7 +238,7 @@ def read_ids(found: DataFrame, catalog: DataFrame, folder: str, width: int) -> D
                 ids = np.frombuffer(opened.read_at(r["n_tokens"] * width, r["offset"]), dtype=f"<u{width}").astype("<u4").tobytes()
                 out.append((r["doc_id"], r["copy"], r["base"] + r["offset"] // width, ids))
                 size += len(ids)
-                if size > SHARD_BYTES // 4:
+                if size > READ_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                     out, size = [], 0
             if out:

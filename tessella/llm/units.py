@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 _RUN = re.compile(r"\s\s")
 #: Units whose ids a task remembers at most; then it forgets them all.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Characters that are encoded at a time.
 SLICE = 1 << 20
 
