@@ -58,11 +58,10 @@ def directory(hashes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
         load = leaves.groupBy(F.shiftright("leaf", LEAF_BITS - bits).alias("prefix")).agg(F.sum("chains").alias(f"load{bits}"))
         slots = slots.join(load, F.shiftright("slot", depth - bits) == load.prefix, "left").drop("prefix")
         local = F.when(F.coalesce(F.col(f"load{bits}"), F.lit(0)) <= capacity, bits).otherwise(local)
-    shift = F.lit(depth) - F.col("local_depth")
     found = slots.select("slot", local.alias("local_depth"))
-    return found.select("slot", F.expr(f"shiftright(slot, {depth} - local_depth)").alias("prefix"), "local_depth", shift.alias("_spare")).select(
-        "slot", F.expr("shiftleft(prefix, _spare)").alias("bucket"), "local_depth"
-    ), depth
+    # A bucket is named after the first of its slots: the bits beyond its depth are zero.
+    bucket = F.expr(f"shiftleft(shiftright(slot, {depth} - local_depth), {depth} - local_depth)")
+    return found.select("slot", bucket.alias("bucket"), "local_depth"), depth
 
 
 def build_index(docs: DataFrame, capacity: int = 50_000) -> tuple[DataFrame, DataFrame]:
