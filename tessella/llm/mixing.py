@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import WORD, materialise, running_total, text_or_empty
 
@@ -155,8 +157,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     turns = uses.withColumn("_turn", F.explode(F.expr("sequence(1L, uses)")))
     parts = turns.groupBy("doc_id", "all_before", "_turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
     same = parts.select(F.col("doc_id").alias("_id"), "_parts")
-    numbered = docs.join(same, docs.doc_id.eqNullSafe(same._id))
-    words = F.filter(F.split(text_or_empty(), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p.from_word + 1).cast("int"), p.words.cast("int")))), " ")
-    out = numbered.withColumn("_words", words).withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    names = docs.columns
+    joined = docs.join(same, docs.doc_id.eqNullSafe(same._id)).select(*names, "_parts")
+
+    def cut(batches):
+        for b in batches:
+            texts = []
+            for text, spans in zip(b.column("text"), b.column("_parts"), strict=True):
+                words = (text.as_py() or "").encode().split()
+                texts.append(b" ".join([w for s in spans.as_py() for w in words[s["from_word"] : s["from_word"] + s["words"]]]).decode())
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
+
+    # In Python: an array function over the words of a text would split it anew for each span.
+    return joined.mapInArrow(cut, T.StructType([T.StructField(f.name, T.LongType()) if f.name == "n_chars" else f for f in docs.schema]))
