@@ -102,10 +102,11 @@ def exact_dedup(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha", F.sha2(normalised(), 256))
-    kept = rows.join(stay, rows.doc_id.eqNullSafe(stay._id) & (rows._sha == stay._sha), "left_semi")
-    first = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0))
+    key = lambda df: df.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
+    stay = key(exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_sha"))).select("_null", "_id", "_sha")
+    # The window finds its rows where the join has put them, so texts are shuffled once.
+    kept = key(docs.withColumn("_sha", F.sha2(normalised(), 256))).join(stay, ["_null", "_id", "_sha"], "left_semi")
+    first = Window.partitionBy("_null", "_id", "_sha").orderBy(F.lit(0))
     return kept.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").select(*docs.columns)
 
 
