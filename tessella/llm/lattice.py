@@ -285,6 +285,17 @@ def fit_pieces(types: DataFrame, pieces: dict[bytes, float], models: int, rounds
     return logs
 
 
+def word_logs(log_mass: np.ndarray, counts: np.ndarray, own: np.ndarray, discount: np.ndarray) -> np.ndarray:
+    """models x words: natural log of each word's probability, in log space throughout, so long words keep theirs.
+
+    log_mass: logs of the segmented part; own: tokens and types (first two columns) of each model's training texts.
+    """
+    n, types, d = own[:, :1], own[:, 1:2], discount[:, None]
+    with np.errstate(divide="ignore"):
+        seen, rest = np.log(np.maximum(counts - d, 0)) - np.log(np.maximum(n, 1)), np.log(d * types) - np.log(np.maximum(n, 1))
+    return np.where(n > 0, np.logaddexp(seen, rest + log_mass), log_mass)
+
+
 def score(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs (doc_id, lang, text)."""
     context, (languages, models) = docs.sparkSession.sparkContext, _languages(docs)
@@ -307,12 +318,10 @@ def score(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES, roun
         lattice = Lattice(*model.value)
         for b in batches:
             words = b.column("word").to_pylist()
-            mass = np.exp(lattice.log_probabilities([b" " + w for w in words]))
-            mass[:, [w == END for w in words]] = 1.0 / len(model.value[0])
+            mass = lattice.log_probabilities([b" " + w for w in words])
+            mass[:, [w == END for w in words]] = -math.log(len(model.value[0]))
             c = np.array([b.column(x).to_numpy() for x in each], dtype=float)
-            d = discount[:, None]
-            p = np.where(own[:, :1] > 0, (np.maximum(c - d, 0) + d * own[:, 1:2] * mass) / np.maximum(own[:, :1], 1), mass)
-            logs = np.log10(np.maximum(p, 1e-300)).astype("<f4")
+            logs = (word_logs(mass, c, own, discount) / math.log(10)).astype("<f4")
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(c.sum(axis=0).astype(np.int64)), pa.array([x.tobytes() for x in logs.T], pa.binary())], names=["word", "c", "logs"])
 
     scored = types.mapInArrow(segmented, "word binary, c long, logs binary")

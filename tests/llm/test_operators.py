@@ -276,6 +276,34 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(sum(u * len(x) for u, x in zip(uses, pieces, strict=True)), 4)
 
 
+def test_lattice_scores_long_unseen_words(spark):
+    """Held-out words whose probability no double can hold, against sums over all segmentations."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    other = [i for i in range(100) if i not in ids and zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    words = ["qzxj9Kv" * 43, "qzxj9Kv" * 200, "龘靐齉爩" * 30, "unseen"]
+    train = ["alpha beta beta gamma", "alpha delta", "beta epsilon"]
+    df = frame(spark, [(i, t, "en", "a") for i, t in zip([*other, *ids], train + words, strict=True)], clashes=False)
+    pieces = lattice.read_pieces(PIECES)
+    log = dict(zip(pieces, lattice.first_guess(pieces), strict=True))
+    longest = max(map(len, pieces))
+
+    def total(word):
+        alpha = [0.0]
+        for end in range(1, len(word) + 1):
+            ways = [alpha[b] + log[word[b:end]] for b in range(max(0, end - longest), end) if word[b:end] in log]
+            alpha.append(max(ways) + math.log(math.fsum(math.exp(w - max(ways)) for w in ways)))
+        return alpha[-1]
+
+    c = Counter(w for t in train for w in [*t.split(), "\n"])
+    n, once, twice = sum(c.values()), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    d = min(max(once / (once + 2 * twice), 0.1), 0.95)
+    end = math.log10((c["\n"] - d + d * len(c) / len(pieces)) / n)
+    want = {i: end + math.log10(d * len(c) / n) + total(b" " + w.translate(LOW).encode()) / math.log(10) for i, w in zip(ids, words, strict=True)}
+    found = {r.doc_id: r.score for r in lattice.score(df, PIECES, rounds=0).where("held_out").collect()}
+    assert min(want.values()) < -2000 and sum(w < -310 for w in want.values()) == 3
+    assert found.keys() == want.keys() and all(math.isclose(found[i], want[i], rel_tol=1e-6) for i in want)
+
+
 def test_quality(spark, odd, small):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
