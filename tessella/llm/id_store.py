@@ -18,6 +18,7 @@ gives an index without buckets and no rows.
 from __future__ import annotations
 
 import os
+import re
 import string
 import uuid
 from array import array
@@ -86,6 +87,46 @@ def unit_encoder(tokenizer_json: str, pattern: str):
     return encode
 
 
+def text_encoder(tokenizer_json: str, pattern: str, added_tokens: bool):
+    """Encodes texts; with added_tokens as the library's encode(text, add_special_tokens=False) does by default.
+
+    The library takes the tokenizer's added tokens out of a text before all else
+    and encodes what stands between them on its own.  So does this; where an
+    added token asks for more than its characters, texts that hold one go
+    through the library.
+    """
+    encode = Remembering(unit_encoder(tokenizer_json, pattern))
+    if not added_tokens:
+        return encode
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(tokenizer_json)
+    added = {t.content: (i, t) for i, t in library.get_added_tokens_decoder().items() if t.content}
+    if not added:
+        return encode
+    plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in added.values())
+    coded = {c: array("I", [i]).tobytes() for c, (i, _) in added.items()}
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split  # the longest first
+
+    def run(texts: list[str]) -> list[bytes]:
+        held = [i for i, t in enumerate(texts) if any(c in t for c in added)]
+        if not held:
+            return encode(texts)
+        parts = {i: cut(texts[i]) if plain else [] for i in held}  # text, token, text, ...
+        between = iter(encode([p for i in range(len(texts)) for p in (parts[i][::2] if i in parts else [texts[i]])]))
+        out = []
+        for i, t in enumerate(texts):
+            if i not in parts:
+                out.append(next(between))
+            elif plain:
+                out.append(b"".join(coded[p] if k % 2 else next(between) for k, p in enumerate(parts[i])))
+            else:
+                out.append(array("I", library.encode(t, add_special_tokens=False).ids).tobytes())
+        return out
+
+    return run
+
+
 def id_width(tokenizer_path: str) -> int:
     """Bytes of an id in the shards."""
     from tokenizers import Tokenizer
@@ -93,9 +134,11 @@ def id_width(tokenizer_path: str) -> int:
     return 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str, shard_bytes: int = SHARD_BYTES, added_tokens: bool = False) -> DataFrame:
     """Writes the shards; gives doc_id, copy, shard, file, offset, n_tokens of each document.
 
+    added_tokens: the tokenizer's added tokens that stand in a text get their own ids.
+
     A task that runs again writes a file of another name; the rows of the run
     that Spark commits name the file that counts.
     """
@@ -109,7 +152,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str
     kinds = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        encode, end, kind = Remembering(unit_encoder(tokenizer.value, pattern)), END.to_bytes(width, "little"), f"<u{width}"
+        encode, end, kind = text_encoder(tokenizer.value, pattern, added_tokens), END.to_bytes(width, "little"), f"<u{width}"
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
         store, base = open_store(folder)
@@ -248,10 +291,10 @@ def read_ids(found: DataFrame, catalog: DataFrame, folder: str, width: int) -> D
     return placed.select("doc_id", "copy", "base", "file", "offset", "n_tokens").mapInArrow(run, kinds)
 
 
-def stored(docs: DataFrame, tokenizer_path: str, pattern: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def stored(docs: DataFrame, tokenizer_path: str, pattern: str, shard_bytes: int = SHARD_BYTES, added_tokens: bool = False) -> DataFrame:
     """Writes docs to a new store in the shared folder and reads every document back through the index: doc_id, copy, start, ids."""
     folder = f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
-    catalog = write_shards(docs, tokenizer_path, pattern, folder, shard_bytes)
+    catalog = write_shards(docs, tokenizer_path, pattern, folder, shard_bytes, added_tokens)
     index, buckets = build_index(catalog)
     copies = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
     wanted = copies.select("doc_id", F.explode(F.expr("sequence(0, n - 1)")).alias("copy"))

@@ -33,7 +33,7 @@ def op5_sketch(spark, sf_dir):
 
 
 def op6_id_store(spark, sf_dir):
-    return id_store.digests(id_store.stored(documents(spark, sf_dir), TOKENIZER, public_tokenizers.PATTERN))
+    return id_store.digests(id_store.stored(documents(spark, sf_dir), TOKENIZER, public_tokenizers.PATTERN, added_tokens=True))
 
 
 def op7_byte_bpe(spark, sf_dir):

@@ -11,9 +11,9 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
-from tessella.llm import byte_bpe, exact_dedup, id_store, lattice, mixing, quality, sharding, simhash, sketch, substring
+from tessella.llm import byte_bpe, exact_dedup, id_store, lattice, mixing, quality, queries, sharding, simhash, sketch, substring
 from tests.llm.conftest import ROWS, frame
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -153,6 +153,35 @@ def test_id_store(case):
     assert ordered(map(tuple, found)) == ordered(want)
 
 
+def test_id_store_of_added_tokens(spark, odd):
+    """Against the library's encode in its default setting, through the arguments of op6_id_store."""
+    t = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y<|endoftext|", "plain", "", "one<|endoftext|>"]
+    for df, rows in ((odd, [(r[0], r[1] or "") for r in ROWS]), (frame(spark, [(i, x, "en", "a") for i, x in enumerate(texts)]), list(enumerate(texts)))):
+        want, at = [], 0
+        for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+            ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()
+            want.append((i, at, len(ids) // 4, zlib.crc32(ids)))
+            at += len(ids) // 4
+        found = id_store.digests(id_store.stored(df, TOKENIZER, public_tokenizers.PATTERN, shard_bytes=20_000, added_tokens=True)).collect()
+        assert ordered(map(tuple, found)) == ordered(want)
+
+
+def test_added_tokens_that_ask_for_more():
+    t = Tokenizer.from_file(TOKENIZER)
+    t.add_special_tokens([AddedToken("<sep>", lstrip=True, rstrip=True)])
+    texts = ["a  <sep>  b<|endoftext|>", "no token", "<sep>", " c <|endoftext|> d"]
+    found = id_store.text_encoder(t.to_str(), public_tokenizers.PATTERN, True)(texts)
+    assert [list(np.frombuffer(x, dtype="<u4")) for x in found] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_op6_asks_for_added_tokens(spark, tmp_path):
+    text = "a <|endoftext|> b"
+    frame(spark, [(1, text, "en", "a")], clashes=False).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = np.array([*Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()
+    assert [(r.n_tokens, r.ids_crc32) for r in queries.op6_id_store(spark, str(tmp_path)).collect()] == [(5, zlib.crc32(ids))]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 50_000).astype(np.uint64))
     levels, slots = id_store.perfect_hash(keys)
