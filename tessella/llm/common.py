@@ -44,6 +44,15 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def with_identity(df: DataFrame) -> DataFrame:
+    """df with _null, _id (its doc_id) and _h (hash of all its columns): rows with the same three are equal.
+
+    Nulls are marked in the hash, which would pass over them.
+    """
+    each = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return df.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_h": F.xxhash64(*each)})
+
+
 def running_total(df: DataFrame, order: list[Column], value: str, start: str) -> DataFrame:
     """Adds ``start``: the sum of ``value`` over all rows before this one in ``order``.
 

@@ -19,11 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import WORD, materialise, running_total, text_or_empty
+from tessella.llm.common import WORD, materialise, running_total, text_or_empty, with_identity
 
 BLOCK = 128
 SHARDS = 64
@@ -78,10 +78,18 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
+#: Columns that with_identity adds.
+IDENTITY = ["_null", "_id", "_h"]
+
+
+def _identity(df: DataFrame) -> list[str]:
+    return [c for c in IDENTITY if c in df.columns]
+
+
 def _streams(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and all_before: words before this document, sources in order."""
-    sizes = docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-    return materialise(running_total(sizes, [F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("size")], "size", "all_before"), "streams")
+    """doc_id, source, size, the identity if docs have it, and all_before: words before this document, sources in order."""
+    sizes = docs.select("doc_id", "source", *_identity(docs), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+    return materialise(running_total(sizes, [F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("size"), *map(F.col, _identity(docs))], "size", "all_before"), "streams")
 
 
 def _sources(streams: DataFrame, weights: list[float], share: float, limit: int, block: int) -> list[dict]:
@@ -120,7 +128,8 @@ def block_uses(docs: DataFrame, weights=(3, 1, 2), share=1.5, limit=2, block=BLO
     """A row per document and block it has words in: doc_id, source, size, source_size, target, all_before, from_word, words, uses.
 
     from_word: first word of the document in that block (0 is the first of the
-    document); uses: how often the mixture takes the block.
+    document); uses: how often the mixture takes the block.  The identity of
+    docs' rows is carried where they have it.
     """
     spark, streams = docs.sparkSession, _streams(docs)
     sources = _sources(streams, list(weights), share, limit, block)
@@ -132,7 +141,7 @@ def block_uses(docs: DataFrame, weights=(3, 1, 2), share=1.5, limit=2, block=BLO
     lo, hi = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     # Spark's estimate of taken doesn't see the explode in it, so it must be told to shuffle.
     return cut.join(taken.hint("merge"), ["src", "block"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", "all_before", (lo - F.col("start")).alias("from_word"), F.coalesce(hi - lo, F.lit(0)).alias("words"), F.coalesce("uses", F.lit(0)).alias("uses")
+        "doc_id", *_identity(docs), "source", "size", "source_size", "target", "all_before", (lo - F.col("start")).alias("from_word"), F.coalesce(hi - lo, F.lit(0)).alias("words"), F.coalesce("uses", F.lit(0)).alias("uses")
     )
 
 
@@ -152,13 +161,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document whose blocks are all taken twice gives two rows, one that is not
     taken gives none.  n_chars is counted anew, other columns are carried.
+    Parts find their row by doc_id and a hash of the row; of equal rows one
+    takes the parts of all.
     """
-    uses = block_uses(docs, **options).where("uses > 0")
+    rows = with_identity(docs)
+    uses = block_uses(rows, **options).where("uses > 0")
     turns = uses.withColumn("_turn", F.explode(F.expr("sequence(1L, uses)")))
-    parts = turns.groupBy("doc_id", "all_before", "_turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
-    same = parts.select(F.col("doc_id").alias("_id"), "_parts")
+    parts = turns.groupBy(*IDENTITY, "all_before", "_turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
     names = docs.columns
-    joined = docs.join(same, docs.doc_id.eqNullSafe(same._id)).select(*names, "_parts")
+    # The join finds its rows where the window has put them, so texts are shuffled once.
+    copy = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.lit(0)))
+    joined = rows.withColumn("_copy", copy).where("_copy = 1").join(parts.select(*IDENTITY, "_parts"), IDENTITY).select(*names, "_parts")
 
     def cut(batches):
         for b in batches:

@@ -22,10 +22,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialise
+from tessella.llm.common import materialise, with_identity
 from tessella.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -46,14 +46,15 @@ def simhash(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp."""
+    """doc_id, fp, and _h where docs have it."""
+    more = [c for c in docs.columns if c == "_h"]
 
     def run(batches):
         for b in batches:
             fps = [simhash(t or b"") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *map(b.column, more)], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in more)]))
 
 
 def embedding(fp: str) -> Column:
@@ -89,23 +90,37 @@ def links(distinct: DataFrame) -> DataFrame:
     return halfway.join(met.hint("merge"), "value").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: a row per row of docs."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, root, component_id, and _h where docs have it: a row per row of docs; a group has one root."""
     fps = materialise(fingerprints(docs), "fingerprints")
     heads = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
     roots = components(links(heads))
     members = roots.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(roots.select("v", "v").distinct())
     known = members.join(heads, "fp")
     first = known.groupBy("root").agg(F.min("head").alias("component_id"))
-    found = materialise(known.select("fp", "root").join(first, "root").select("fp", "component_id"), "found")
-    each = heads.join(found, "fp", "left").select("fp", F.coalesce("component_id", "head").alias("component_id"))
-    return fps.join(each, "fp").select("doc_id", "fp", "component_id")
+    found = materialise(known.select("fp", "root").join(first, "root").select("fp", "root", "component_id"), "found")
+    each = heads.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "head").alias("component_id"))
+    return fps.join(each, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id: a row per row of docs."""
+    return _grouped(docs).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of each group, with all their columns."""
-    stay = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay._id), "left_semi")
+    """The rows of docs that stay, one of each group, with all their columns.
+
+    A group keeps one row with its smallest doc_id, that with the smallest hash
+    where several rows have it; a group of null doc_ids keeps all its rows.
+    """
+    rows, key = with_identity(docs), ["_null", "_id", "_h"]
+    alone = F.when(F.col("doc_id").isNull(), F.col("_h"))
+    heads = _grouped(rows).where("doc_id <=> component_id").groupBy("root", "doc_id", alone.alias("_alone")).agg(F.min("_h").alias("_h"))
+    stay = heads.select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "_h")
+    # The window finds its rows where the join has put them, so texts are shuffled once.
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    return rows.join(stay, key, "left_semi").withColumn("_copy", copy).where("_copy = 1 OR _null").select(*docs.columns)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -92,6 +92,25 @@ def test_mixed_documents(case):
         assert got == Counter({k: v for k, v in want.items() if v})
 
 
+def test_mixed_documents_of_repeated_ids(spark):
+    """Rows that share a doc_id, equal and unequal ones: each gives the words of its own, at most twice."""
+    texts = {"a": "a0 a1 a2 a3 a4 a5 a6", "b": " ".join(f"b{i}" for i in range(40)), "c": "c0 c1"}
+    rows = [(5, texts["a"], "en", "s"), (5, texts["b"], "en", "s"), (5, texts["b"], "en", "s"), (5, texts["c"], None, "t"), (None, "n0 n1 n2", "en", "s"), (None, "m0 m1", "en", "s"), (6, "z0 z1 z2", "en", "t")]
+    df = frame(spark, rows)
+    out = mixing.mixed_documents(df, block=4, share=2).collect()
+    have = Counter(w for r in rows for w in WORDS(r[1]))
+    assert Counter(w for r in out for w in WORDS(r.text)) == Counter({w: 2 * n for w, n in have.items()})
+    own = {w: (r[0], r[2], r[3]) for r in rows for w in WORDS(r[1])}
+    assert all({own[w] for w in WORDS(r.text)} == {(r.doc_id, r.lang, r.source)} and len({w[0] for w in WORDS(r.text)}) == 1 for r in out)
+    got, taken = Counter(), Counter()
+    for r in mixing.mixed_documents(df, block=4).collect():
+        got[r.doc_id] += len(WORDS(r.text))
+        assert r.n_chars == len(r.text)
+    for r in mixing.taken_words(df, block=4).collect():
+        taken[r.doc_id] += r.taken
+    assert got == taken
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([10, 10, 80], [3, 1, 2], 1.5, 2) == [20.0, 20.0, 110.0]
     assert mixing.targets([0, 0], [3, 1], 1.5, 2) == [0.0, 0.0]
@@ -242,6 +261,21 @@ def test_simhash(case):
     assert ordered(map(tuple, simhash.digest_columns(simhash.near_duplicates(df)).collect())) == ordered(want)
 
 
+def test_drop_near_copies_of_repeated_ids(spark):
+    """One row of each group stays, also where rows share a doc_id within a group or across groups."""
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    rows = [(7, one, "en", "a"), (7, one, "en", "a"), (7, two, "en", "a"), (7, two + "  ", "de", "a"), (3, two, "en", "a"), (9, one, "en", "b"), (8, "stands alone here", "en", "a"), (None, "has no id", "en", "a"), (None, "has no id", "en", "a"), (None, one, "en", "a")]
+    kept = simhash.drop_near_copies(frame(spark, rows))
+    assert ordered((r.doc_id, r.text) for r in kept.collect()) == ordered([(7, one), (3, two), (8, "stands alone here"), (None, "has no id"), (None, "has no id")])
+    assert kept.columns == frame(spark, rows).columns
+
+
+def test_drop_near_copies(case):
+    df, rows = case
+    heads = brute_components([(i, brute_simhash(t)) for i, t, *_ in rows])
+    assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == set(heads)
+
+
 def test_dense_chains_of_fingerprints(spark):
     """Chains and dense groups: every pair within two bits is joined, whatever the distance of their ends."""
     rng = np.random.default_rng(3)
