@@ -141,8 +141,8 @@ def f7_member_channels(spark, sf_dir):
 
 @query(r"SELECT doc_id FROM documents WHERE length(regexp_replace(substr(text, 1, 24), '^\s+|\s+$', '', 'g')) >= 20")
 def f8_min_length(spark, sf_dir):
-    """Documents of whose first 24 characters at least 20 are left when stripped."""
-    return table(spark, sf_dir, "documents").where(F.length(X.strip(F.substring("text", 1, 24))) >= 20).select("doc_id")
+    """Documents of at least 20 characters when stripped."""
+    return table(spark, sf_dir, "documents").where(F.length(X.strip("text")) >= 20).select("doc_id")
 
 
 _PATH = "regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')"

@@ -29,3 +29,9 @@ def test_query(spark, small, duck, name):
     found = rows(plans.QUERIES[name](spark, small).toPandas())
     assert found[1], "no rows"
     assert found == rows(duck.sql(plans.ORACLES[name]).df())
+
+
+def test_min_length_judges_whole_texts(spark, tmp_path):
+    texts = [" " * 8 + "x" * 20, "ab" + " " * 30 + "y" * 20, " " * 30 + "x" * 19 + " ", "short", "z" * 20, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in plans.QUERIES["f8_min_length"](spark, str(tmp_path)).collect()) == [0, 1, 4]
