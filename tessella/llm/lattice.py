@@ -46,12 +46,18 @@ BLOCK_BYTES = 32 << 20
 ROUNDS = 3
 #: Languages that are learned apart at most.
 LANGUAGES = 8
-#: Cells (words x bytes x piece lengths) that are worked on at a time.
-CELLS = 1 << 18
+#: Cells (words x bytes) that are worked on at a time, and words that are gathered for it.
+CELLS, GATHERED = 1 << 18, 1 << 16
+#: Bytes of a word up to which probabilities can't leave the range of a double; longer words carry the log of a scale.
+SHORT = 24
+#: Bytes of a word above which its places are worked through in windows, each of WINDOW places.
+LONG, WINDOW = 2048, 1 << 15
+#: Natural log of the least product of piece probabilities over one piece's length, or over SHORT bytes.
+DEEPEST = -690.0
 #: The end of a text, a token that no word can be.
 END = b" "
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_BITS = 22
+_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SLOT_BITS = 20
 
 
 def read_pieces(model_path: str) -> dict[bytes, float]:
@@ -79,108 +85,234 @@ def first_guess(pieces: dict[bytes, float]) -> np.ndarray:
 
 
 class Lattice:
-    """The pieces, with natural logs of their probabilities in one or more models (rows of logs)."""
+    """The pieces, with natural logs of their probabilities in one or more models (rows of logs).
+
+    Matrices of words are flat, places first: cell ``place * n + word``.  The
+    pieces of each length are listed once for all models, as the cells where one
+    begins and its number.
+    """
 
     def __init__(self, pieces: list[bytes], logs: np.ndarray):
-        self.logs, self.longest = np.atleast_2d(np.asarray(logs, dtype=float)), max(map(len, pieces))
-        hashes = np.array([self._hash(np.frombuffer(p, dtype=np.uint8)[None, :])[0] for p in pieces], dtype=np.uint64)
-        self._order = np.argsort(hashes)
-        self._sorted = hashes[self._order]
-        self._maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self._maybe[hashes >> np.uint64(64 - _FILTER_BITS)] = True
+        sizes = np.array(list(map(len, pieces)))
+        self.longest, self.sizes = int(sizes.max()), np.unique(sizes).tolist()
+        self.logs = np.maximum(np.atleast_2d(np.asarray(logs, dtype=float)), DEEPEST / max(self.longest, SHORT))
+        self.probabilities = np.exp(self.logs)
+        # Eight bytes from the places 0, 8, ... and from the last that has eight: together the whole piece.
+        self._eights: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._slots = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
+        for size in self.sizes:
+            own = np.flatnonzero(sizes == size)
+            data = np.frombuffer(b"".join([pieces[i] for i in own]), dtype=np.uint8).reshape(len(own), size)
+            packed = self._packed(data)
+            keys = np.stack([self._key(packed, size, at, len(own)) for at in self._parts(size)])
+            order = np.full(len(pieces), -1)
+            order[own] = np.arange(len(own))
+            self._eights[size] = keys, order
+            for i, slot in zip(own.tolist(), self._slot(keys, size).tolist(), strict=True):
+                while self._slots[slot] >= 0:
+                    slot = (slot + 1) % len(self._slots)
+                self._slots[slot] = i
 
     @staticmethod
-    def _hash(data: np.ndarray) -> np.ndarray:
-        """Hash of each row, from its bytes and length."""
-        h = np.zeros(len(data), dtype=np.uint64)
-        for column in data.T:
-            h = (h + column + np.uint64(1)) * _BASE
-            h ^= h >> np.uint64(29)
-        return h
-
-    def _pieces_at(self, data: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each length l: the piece that begins at each place of each word (-1: none), places first, and at which places any word has one."""
-        letters = np.ascontiguousarray(data.T).astype(np.uint64) + np.uint64(1)
-        width, n = letters.shape
-        h, out, there = np.zeros((width, n), dtype=np.uint64), [], []
-        for size in range(1, min(self.longest, width) + 1):
-            h = (h[: width - size + 1] + letters[size - 1 :]) * _BASE
-            h ^= h >> np.uint64(29)
-            ids = np.full(h.shape, -1, dtype=np.int32)
-            ask = np.flatnonzero(self._maybe[h >> np.uint64(64 - _FILTER_BITS)])
-            asked = h.reshape(-1)[ask]
-            at = np.minimum(np.searchsorted(self._sorted, asked), len(self._sorted) - 1)
-            ids.reshape(-1)[ask] = np.where(self._sorted[at] == asked, self._order[at], -1)
-            out.append(ids)
-            there.append((ids >= 0).any(axis=1))
-        return out, there
-
-    def _scored(self, ids: list[np.ndarray], model: int) -> list[np.ndarray]:
-        logs = np.append(self.logs[model], -np.inf)  # what -1 finds
-        return [logs[x] for x in ids]
+    def _parts(size: int) -> list[int]:
+        return [0] if size <= 8 else [*range(0, size - 8, 8), size - 8]
 
     @staticmethod
-    def _log_sum(ways: list[np.ndarray], n: int) -> np.ndarray:
-        """Log of the sum of exponentials of the arrays, -inf where all are."""
-        if len(ways) < 2:
-            return ways[0] if ways else np.full(n, -np.inf)
-        ways = np.stack(ways)
-        top = ways.max(axis=0)
-        top[top == -np.inf] = 0.0
-        with np.errstate(divide="ignore"):
-            return top + np.log(np.exp(ways - top).sum(axis=0))
-
-    def _forward(self, scores: list[np.ndarray], there: list[np.ndarray], n: int, width: int) -> np.ndarray:
-        """alpha, places first: log of the sum over all segmentations of what stands before each place."""
-        alpha = np.full((width + 1, n), -np.inf)
-        alpha[0] = 0.0
-        for end in range(1, width + 1):
-            alpha[end] = self._log_sum([alpha[end - size] + scores[size - 1][end - size] for size in range(1, min(len(scores), end) + 1) if there[size - 1][end - size]], n)
-        return alpha
+    def _packed(data: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on, places first; zeros follow a word."""
+        n, width = data.shape
+        x = np.zeros((width + 7, n), dtype=np.uint64)
+        x[:width] = data.T
+        for shift in (1, 2, 4):
+            x = (x[:-shift] << np.uint64(8 * shift)) | x[shift:]
+        return x
+
+    @staticmethod
+    def _key(packed: np.ndarray, size: int, part: int, n: int) -> np.ndarray:
+        places = len(packed) - size + 1
+        return (packed[part : part + places] >> np.uint64(max(0, 64 - 8 * size))).reshape(-1)
 
-    def _backward(self, scores: list[np.ndarray], there: list[np.ndarray], n: int, width: int) -> np.ndarray:
-        beta = np.full((width + 1, n), -np.inf)
-        beta[width] = 0.0
+    @staticmethod
+    def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+        h = keys[0] * _BASE if len(keys) == 1 else (keys[0] * _STEP ^ keys[-1]) * _BASE
+        return ((h + np.uint64(size * int(_STEP) % 2**64)) * _BASE >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def _arcs(self, data: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, cells, pieces): where pieces of each length stand, cells ascending."""
+        n, width = data.shape
+        packed, out = self._packed(data), []
+        for size in self.sizes:
+            if size > width:
+                break
+            known, order = self._eights[size]
+            keys = [self._key(packed, size, part, n) for part in self._parts(size)]
+            slot = self._slot(keys, size)
+            ask = np.flatnonzero(self._slots[slot] >= 0)
+            cells, pieces, at = [], [], slot[ask]
+            while len(ask):
+                piece = self._slots[at]
+                own = order[piece]  # -1: of another length, or an empty slot
+                same = (own >= 0) & (piece >= 0)
+                for k, key in enumerate(keys):
+                    same &= known[k][own] == key[ask]
+                cells.append(ask[same])
+                pieces.append(piece[same])
+                on = ~same & (piece >= 0)
+                ask, at = ask[on], (at[on] + 1) % len(self._slots)
+            if cells and sum(map(len, cells)):
+                cell, piece = np.concatenate(cells), np.concatenate(pieces)
+                if len(cells) > 1:
+                    way = np.argsort(cell, kind="stable")
+                    cell, piece = cell[way], piece[way]
+                out.append((size, cell, piece))
+        return out
+
+    def _forward(self, arcs: list, model: int, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(alpha, scale), places first: the sum over all segmentations of what stands before each place is alpha * exp(scale)."""
+        alpha, scale = np.zeros((width + 1) * n), np.zeros((width + 1, n))
+        alpha[:n] = 1.0
+        score = [self.probabilities[model][piece] for _, _, piece in arcs]
+        bounds = [np.searchsorted(cell, np.arange(width + 1) * n).tolist() for _, cell, _ in arcs]
+        for end in range(1, width + 1):
+            row = alpha[end * n : (end + 1) * n]
+            for (size, cell, _), p, bound in zip(arcs, score, bounds, strict=True):
+                begin = end - size
+                if begin < 0:
+                    break
+                lo, hi = bound[begin], bound[begin + 1]
+                if hi - lo == n:
+                    row += alpha[begin * n : begin * n + n] * p[lo:hi]
+                elif hi > lo:
+                    row[cell[lo:hi] - begin * n] += alpha[cell[lo:hi]] * p[lo:hi]
+            if width > SHORT:
+                scale[end] = scale[end - 1]
+                if end % 8 == 0:  # the places that are still looked at come to a scale on which this one is 1
+                    first = max(0, end - self.longest + 1)
+                    with np.errstate(divide="ignore"):
+                        logs = np.where(row > 0, np.log(row), 0.0)
+                    alpha[first * n : (end + 1) * n] = (alpha[first * n : (end + 1) * n].reshape(-1, n) * np.exp(-logs)).reshape(-1)
+                    scale[first : end + 1] += logs
+        return alpha, scale
+
+    def _backward(self, arcs: list, model: int, n: int, width: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        beta, scale = np.zeros((width + 1) * n), np.zeros((width + 1, n))
+        beta[sizes * n + np.arange(n)] = 1.0
+        score = [self.probabilities[model][piece] for _, _, piece in arcs]
+        bounds = [np.searchsorted(cell, np.arange(width + 1) * n).tolist() for _, cell, _ in arcs]
         for begin in range(width - 1, -1, -1):
-            beta[begin] = self._log_sum([beta[begin + size] + scores[size - 1][begin] for size in range(1, min(len(scores), width - begin) + 1) if there[size - 1][begin]], n)
-        return beta
+            row = beta[begin * n : (begin + 1) * n]
+            for (size, cell, _), p, bound in zip(arcs, score, bounds, strict=True):
+                lo, hi = bound[begin], bound[begin + 1]
+                if hi - lo == n:
+                    row += beta[(begin + size) * n : (begin + size + 1) * n] * p[lo:hi]
+                elif hi > lo:
+                    row[cell[lo:hi] - begin * n] += beta[cell[lo:hi] + size * n] * p[lo:hi]
+            if width > SHORT:
+                scale[begin] = scale[begin + 1]
+                if begin % 8 == 0:
+                    last = min(width, begin + self.longest - 1)
+                    with np.errstate(divide="ignore"):
+                        logs = np.where(row > 0, np.log(row), 0.0)
+                    beta[begin * n : (last + 1) * n] = (beta[begin * n : (last + 1) * n].reshape(-1, n) * np.exp(-logs)).reshape(-1)
+                    scale[begin : last + 1] += logs
+        return beta, scale
 
     def batches(self, words: list[bytes]):
-        """(places in words, matrix of bytes) for words of equal length."""
-        by_size: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_size.setdefault(len(w), []).append(i)
-        for size, places in by_size.items():
-            step = max(1, CELLS // (size * min(size, self.longest)))
-            for i in range(0, len(places), step):
-                some = places[i : i + step]
-                yield np.array(some), np.frombuffer(b"".join([words[j] for j in some]), dtype=np.uint8).reshape(len(some), size)
+        """(places in words, matrix of bytes, lengths) for words of up to LONG bytes and near length, zeros after the shorter ones."""
+        sizes = np.array(list(map(len, words)), dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] <= LONG]
+        i = 0
+        while i < len(order):
+            least = int(sizes[order[i]])
+            widest = least if least <= SHORT else least + least // 4
+            some = order[i : i + max(1, CELLS // widest)]
+            some = some[: int(np.searchsorted(sizes[some], widest, side="right"))]
+            own, width = sizes[some], int(sizes[some[-1]])
+            data = np.zeros((len(some), width), dtype=np.uint8)
+            data[np.arange(width) < own[:, None]] = np.frombuffer(b"".join([words[j] for j in some]), dtype=np.uint8)
+            yield some, data, own
+            i += len(some)
+
+    def _own_arcs(self, data: np.ndarray, sizes: np.ndarray) -> list:
+        """The arcs that end within each word."""
+        n, width = data.shape
+        arcs = self._arcs(data)
+        if sizes[0] == width:
+            return arcs
+        out = []
+        for size, cell, piece in arcs:
+            own = cell // n + size <= sizes[cell % n]
+            out.append((size, cell[own], piece[own]))
+        return out
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """models x words: natural log of the sum over all segmentations of each word (with its blank)."""
         out = np.zeros((len(self.logs), len(words)))
-        for places, data in self.batches(words):
-            ids, there = self._pieces_at(data)
+        for places, data, sizes in self.batches(words):
+            n, width = data.shape
+            arcs, last = self._own_arcs(data, sizes), sizes * n + np.arange(n)
             for k in range(len(self.logs)):
-                out[k, places] = self._forward(self._scored(ids, k), there, *data.shape)[-1]
+                alpha, scale = self._forward(arcs, k, n, width)
+                out[k, places] = np.log(alpha[last]) + scale.reshape(-1)[last]
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[:, i] = [self._long(w, k)[-1] for k in range(len(self.logs))]
         return out
 
     def expected(self, words: list[bytes], model: int = 0) -> np.ndarray:
         """Expected uses of each piece over the segmentations of the words, each word once."""
         total = np.zeros(self.logs.shape[1])
-        for _, data in self.batches(words):
+        for _, data, sizes in self.batches(words):
             n, width = data.shape
-            ids, there = self._pieces_at(data)
-            scores = self._scored(ids, model)
-            alpha, beta = self._forward(scores, there, n, width), self._backward(scores, there, n, width)
-            alpha, beta, all_ = alpha.reshape(-1), beta.reshape(-1), alpha[-1]
-            for size, (piece, score) in enumerate(zip(ids, scores, strict=True), 1):
-                at = np.flatnonzero(piece >= 0)
-                if len(at):
-                    use = np.exp(alpha[at] + score.reshape(-1)[at] + beta[at + size * n] - all_[at % n])
-                    total += np.bincount(piece.reshape(-1)[at], weights=use, minlength=len(total))
+            arcs, last = self._own_arcs(data, sizes), sizes * n + np.arange(n)
+            alpha, up = self._forward(arcs, model, n, width)
+            beta, down = self._backward(arcs, model, n, width, sizes)
+            whole, up, down = 1.0 / alpha[last], up.reshape(-1), down.reshape(-1)
+            for size, cell, piece in arcs:
+                use = alpha[cell] * self.probabilities[model][piece] * beta[cell + size * n] * whole[cell % n]
+                if width > SHORT:
+                    use *= np.exp(up[cell] + down[cell + size * n] - up[last][cell % n])
+                total += np.bincount(piece, weights=use, minlength=len(total))
+        for w in words:
+            if len(w) > LONG:
+                total += self._long_uses(w, model)
         return total
 
+    def _windows(self, word: bytes) -> list[int]:
+        return list(range(0, len(word), WINDOW))
+
+    def _window_arcs(self, word: bytes, first: int) -> tuple[list[int], list[int], list[int]]:
+        """Begins, ends and pieces of the arcs that end in (first, first + WINDOW], by end."""
+        low, high = max(0, first + 1 - self.longest), min(len(word), first + WINDOW)
+        arcs = self._arcs(np.frombuffer(word[low:high], dtype=np.uint8)[None, :])
+        begin, size = np.concatenate([c for _, c, _ in arcs]) + low, np.concatenate([np.full(len(c), s) for s, c, _ in arcs])
+        piece, end = np.concatenate([p for _, _, p in arcs]), begin + size
+        own = np.flatnonzero(end > first)
+        own = own[np.argsort(end[own], kind="stable")]
+        return begin[own].tolist(), end[own].tolist(), piece[own].tolist()
+
+    def _long(self, word: bytes, model: int) -> np.ndarray:
+        """Logs of alpha at each place of a very long word; the pieces of one window are held at a time."""
+        logs, alpha = self.logs[model].tolist(), [-math.inf] * (len(word) + 1)
+        alpha[0] = 0.0
+        for first in self._windows(word):
+            for begin, end, piece in zip(*self._window_arcs(word, first), strict=True):
+                way, now = alpha[begin] + logs[piece], alpha[end]
+                alpha[end] = way if now == -math.inf else max(way, now) + math.log1p(math.exp(-abs(way - now)))
+        return np.array(alpha)
+
+    def _long_uses(self, word: bytes, model: int) -> np.ndarray:
+        alpha, logs, total = self._long(word, model).tolist(), self.logs[model].tolist(), [0.0] * self.logs.shape[1]
+        beta = [-math.inf] * (len(word) + 1)
+        beta[-1] = 0.0
+        for first in reversed(self._windows(word)):
+            for begin, end, piece in zip(*(reversed(x) for x in self._window_arcs(word, first)), strict=True):
+                way, now = beta[end] + logs[piece], beta[begin]
+                total[piece] += math.exp(alpha[begin] + way - alpha[-1])
+                beta[begin] = way if now == -math.inf else max(way, now) + math.log1p(math.exp(-abs(way - now)))
+        return np.array(total)
+
 
 def trains(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 != 2, F.lit(True))
@@ -256,6 +388,19 @@ def blocks(docs: DataFrame, languages: list[str], models: int, block_bytes: int
     return rows.mapInArrow(run, ddl)
 
 
+def gathered(batches, rows: int = GATHERED):
+    """Tables of some ten thousand rows: arrays over words of one length are long enough then."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def fit_pieces(types: DataFrame, pieces: dict[bytes, float], models: int, rounds: int = ROUNDS) -> np.ndarray:
     """models x pieces: natural logs of probabilities after EM over each model's training words, each distinct word once."""
     names, logs = list(pieces), np.tile(first_guess(pieces), (models, 1))
@@ -267,7 +412,7 @@ def fit_pieces(types: DataFrame, pieces: dict[bytes, float], models: int, rounds
         def run(batches, model=model):
             lattice = Lattice(*model.value)
             total = np.zeros(lattice.logs.shape)
-            for b in batches:
+            for b in gathered(batches):
                 words = np.array([b" " + w for w in b.column("word").to_pylist()], dtype=object)
                 for k in range(len(total)):
                     own = words[b.column(f"c{k}").to_numpy() > 0].tolist()
@@ -315,14 +460,15 @@ def score(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES, roun
     model = context.broadcast((list(pieces), fit_pieces(types, pieces, models, rounds)))
 
     def segmented(batches):
-        lattice = Lattice(*model.value)
-        for b in batches:
+        lattice, end = Lattice(*model.value), 1.0 / len(model.value[0])
+        for b in gathered(batches):
             words = b.column("word").to_pylist()
-            mass = lattice.log_probabilities([b" " + w for w in words])
-            mass[:, [w == END for w in words]] = -math.log(len(model.value[0]))
+            # The lattice gives all words together a mass of 1, so the end's share is taken from them.
+            mass = lattice.log_probabilities([b" " + w for w in words]) + math.log1p(-end)
+            mass[:, [w == END for w in words]] = math.log(end)
             c = np.array([b.column(x).to_numpy() for x in each], dtype=float)
             logs = (word_logs(mass, c, own, discount) / math.log(10)).astype("<f4")
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(c.sum(axis=0).astype(np.int64)), pa.array([x.tobytes() for x in logs.T], pa.binary())], names=["word", "c", "logs"])
+            yield from pa.Table.from_arrays([b.column("word"), pa.array(c.sum(axis=0).astype(np.int64)), pa.array([x.tobytes() for x in logs.T], pa.binary())], names=["word", "c", "logs"]).to_batches()
 
     scored = types.mapInArrow(segmented, "word binary, c long, logs binary")
     dictionary = entries.select("home", "number", "word").join(scored.hint("merge"), "word").select("home", "number", "c", "logs")
