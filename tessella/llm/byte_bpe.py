@@ -18,12 +18,13 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.units import Remembering, slices
+from tessella.llm.units import Remembering, binary, parts, slices
 
 #: Widest matrix; longer pre-tokens take the heap.
 WIDEST = 256
@@ -165,32 +166,32 @@ class Codec:
                 out.update((p, ids.astype("<u4").tobytes()) for p, ids in zip(some, self._matrix(some, width), strict=True))
         return out
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        cut = [[p.encode() for p in self.split(u)] for u in units]
+    def encode_units(self, units: list[bytes]) -> list[bytes]:
+        cut = [[p.encode() for p in self.split(u.decode())] for u in units]
         known = self.encode_pieces(list(set().union(*cut)))
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
-    def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each sequence of ids."""
-        flat = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The bytes of each sequence of ids (little-endian unsigned 32-bit, in a binary array)."""
+        offsets, data = parts(ids)
+        flat = data.view("<u4").astype(np.int64)
         sizes = self.sizes[flat]
         ends = np.cumsum(sizes)
-        data = self.blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[flat] - (ends - sizes), sizes)].tobytes()
-        at = np.concatenate([[0], ends])[np.cumsum([0] + [len(x) // 4 for x in ids])]
-        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        out = self.blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[flat] - (ends - sizes), sizes)]
+        return binary(np.concatenate([[0], ends])[offsets // 4], out)
 
 
 def _with_binary(df: DataFrame, source: str, name: str, make) -> DataFrame:
-    """df with the binary column ``name``; make() gives, in the task, what maps a list of values of ``source`` to it."""
+    """df with the binary column ``name``; make() gives, in the task, what maps a binary array of ``source`` to it."""
     df = df.drop(name)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches):
         convert = make()
         for batch in batches:
-            values = ["" if x is None else x for x in batch.column(source).to_pylist()]
+            values = pc.fill_null(batch.column(source).cast(pa.binary()), b"")
             for a, b in slices(values):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(convert(values[a:b]), pa.binary())], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, convert(values.slice(a, b - a))], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
@@ -205,11 +206,7 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Rows that have ``ids``, with ``decoded``: the bytes that the ids stand for."""
     tokens = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
-    def make():
-        decoder = Codec(tokens.value, pattern).decode
-        return lambda ids: decoder([x or b"" for x in ids])
-
-    return _with_binary(coded, "ids", "decoded", make)
+    return _with_binary(coded, "ids", "decoded", lambda: Codec(tokens.value, pattern).decode)
 
 
 def digests(coded: DataFrame, *more: str) -> DataFrame:

@@ -19,18 +19,18 @@ from __future__ import annotations
 
 import os
 import re
-import string
 import uuid
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import materialise, shared_dir, text_or_empty
-from tessella.llm.units import Remembering, slices
+from tessella.llm.units import Remembering, parts, slices
 
 END = 2
 #: Text of a shard: a task remembers what it has encoded, so larger shards encode less anew.
@@ -39,8 +39,6 @@ SHARD_BYTES = 64 << 20
 READ_BYTES = 4 << 20
 BUCKET_KEYS = 20_000
 LEVELS, SPARE = 24, 2
-#: ASCII marks: no letters, digits or blanks.
-MARKS = string.punctuation
 
 
 def open_store(uri: str):
@@ -69,22 +67,17 @@ def unit_encoder(tokenizer_json: str, pattern: str):
     from tokenizers import Tokenizer
 
     tokenize, split, letters = Tokenizer.from_str(tokenizer_json).model.tokenize, regex.compile(pattern).findall, _byte_letters()
+    blank = letters[32]
 
     def piece(p: str) -> bytes:
-        return array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+        return array("I", [t.id for t in tokenize(p)]).tobytes()
 
-    def pieces(unit: str) -> list[str]:
-        word = unit.rstrip(MARKS)
-        if word[1:].isalpha() and word[0] == " ":  # a word, and the marks after it
-            return [word, unit[len(word) :]] if len(word) < len(unit) else [unit]
-        return split(unit)
+    def one(unit: bytes) -> bytes:
+        if unit[1:].isalpha() and unit[:1] == b" ":  # ASCII letters after a blank, one pre-token
+            return piece(chr(blank) + unit[1:].decode())
+        return b"".join([piece(p.encode().decode("latin-1").translate(letters)) for p in split(unit.decode())])
 
-    def encode(units: list[str]) -> list[bytes]:
-        cut = list(map(pieces, units))
-        known = {p: piece(p) for p in set().union(*cut)}
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
-
-    return encode
+    return lambda units: list(map(one, units))
 
 
 def text_encoder(tokenizer_json: str, pattern: str, added_tokens: bool):
@@ -106,23 +99,22 @@ def text_encoder(tokenizer_json: str, pattern: str, added_tokens: bool):
         return encode
     plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in added.values())
     coded = {c: array("I", [i]).tobytes() for c, (i, _) in added.items()}
-    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split  # the longest first
-
-    def run(texts: list[str]) -> list[bytes]:
-        held = [i for i, t in enumerate(texts) if any(c in t for c in added)]
-        if not held:
+    any_of = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))  # the longest first
+    cut, held_in = re.compile(f"({any_of})").split, re.compile(any_of.encode()).search
+
+    def one(text: str) -> bytes:
+        if not plain:
+            return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = cut(text)  # text, token, text, ...
+        between = iter(encode(pa.array([p.encode() for p in pieces[::2]], pa.binary())).to_pylist())
+        return b"".join(coded[p] if k % 2 else next(between) for k, p in enumerate(pieces))
+
+    def run(texts: pa.Array) -> pa.Array:
+        if not held_in(parts(texts)[1]):
             return encode(texts)
-        parts = {i: cut(texts[i]) if plain else [] for i in held}  # text, token, text, ...
-        between = iter(encode([p for i in range(len(texts)) for p in (parts[i][::2] if i in parts else [texts[i]])]))
-        out = []
-        for i, t in enumerate(texts):
-            if i not in parts:
-                out.append(next(between))
-            elif plain:
-                out.append(b"".join(coded[p] if k % 2 else next(between) for k, p in enumerate(parts[i])))
-            else:
-                out.append(array("I", library.encode(t, add_special_tokens=False).ids).tobytes())
-        return out
+        held = [held_in(t) is not None for t in texts.to_pylist()]
+        others = iter(encode(pc.if_else(pa.array(held), b"", texts)).to_pylist())
+        return pa.array([one(t.decode()) if h else ids for t, h, ids in zip(texts.to_pylist(), held, others, strict=True)], pa.binary())
 
     return run
 
@@ -145,29 +137,28 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = spark.sparkContext.broadcast(f.read())  # one vocabulary file: bounded
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = id_width(tokenizer_path)
     ordered = rows.repartitionByRange(int(size // shard_bytes) + 1, "doc_id").sortWithinPartitions("doc_id", "text")
     kinds = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        encode, end, kind = text_encoder(tokenizer.value, pattern, added_tokens), END.to_bytes(width, "little"), f"<u{width}"
+        encode, kind = text_encoder(tokenizer.value, pattern, added_tokens), f"<u{width}"
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
         store, base = open_store(folder)
         before, copy, at, sink = None, 0, 0, None
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo, hi in slices(texts):
+            if sink is None:
+                store.create_dir(base, recursive=True)
+                sink = store.open_output_stream(f"{base}/{name}")
+            for lo, hi in slices(b.column("text")):
+                offsets, coded = parts(encode(b.column("text").slice(lo, hi - lo)))
+                sink.write(np.insert(coded.view("<u4"), offsets[1:] // 4, END).astype(kind).tobytes())
                 out = []
-                for doc_id, coded in zip(ids[lo:hi], encode(texts[lo:hi]), strict=True):
-                    copy = copy + 1 if sink is not None and doc_id == before else 0
-                    if sink is None:
-                        store.create_dir(base, recursive=True)
-                        sink = store.open_output_stream(f"{base}/{name}")
-                    sink.write(np.frombuffer(coded, dtype="<u4").astype(kind).tobytes() + end)
-                    n = len(coded) // 4 + 1
+                for doc_id, n in zip(b.column("doc_id").slice(lo, hi - lo).to_pylist(), (np.diff(offsets) // 4 + 1).tolist(), strict=True):
+                    copy = copy + 1 if at and doc_id == before else 0
                     out.append((doc_id, copy, shard, name, at, n))
                     before, at = doc_id, at + n * width
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -190,8 +191,8 @@ def test_added_tokens_that_ask_for_more():
     t = Tokenizer.from_file(TOKENIZER)
     t.add_special_tokens([AddedToken("<sep>", lstrip=True, rstrip=True)])
     texts = ["a  <sep>  b<|endoftext|>", "no token", "<sep>", " c <|endoftext|> d"]
-    found = id_store.text_encoder(t.to_str(), public_tokenizers.PATTERN, True)(texts)
-    assert [list(np.frombuffer(x, dtype="<u4")) for x in found] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    found = id_store.text_encoder(t.to_str(), public_tokenizers.PATTERN, True)(pa.array([x.encode() for x in texts], pa.binary()))
+    assert [list(np.frombuffer(x, dtype="<u4")) for x in found.to_pylist()] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_op6_asks_for_added_tokens(spark, tmp_path):
@@ -339,11 +340,45 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(sum(u * len(x) for u, x in zip(uses, pieces, strict=True)), 4)
 
 
+def test_lattice_of_every_length(monkeypatch):
+    """Short words in doubles, longer ones with scales, very long ones in windows: the same sums and uses, with padding and without."""
+    pieces = lattice.read_pieces(PIECES)
+    rng, letters = np.random.default_rng(5), np.frombuffer("aeinrstlo中文éx0".encode(), dtype=np.uint8)
+    words = [b" " + rng.choice(letters, int(k)).tobytes() for k in rng.integers(1, 150, 120)]
+    log = lattice.first_guess(pieces)
+    model = lattice.Lattice(list(pieces), np.stack([log, log[::-1]]))
+    known = dict(zip(pieces, range(len(pieces)), strict=True))
+    probability = np.exp(model.logs)
+
+    def brute(w, k):
+        alpha, beta = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+        arcs = [(b, e, known[w[b:e]]) for e in range(1, len(w) + 1) for b in range(max(0, e - model.longest), e) if w[b:e] in known]
+        for b, e, p in arcs:
+            alpha[e] += alpha[b] * probability[k][p] * 2.0 ** (20 * (e - b))
+        for b, e, p in sorted(arcs, key=lambda a: -a[0]):
+            beta[b] += beta[e] * probability[k][p] * 2.0 ** (20 * (e - b))
+        uses = np.zeros(len(pieces))
+        for b, e, p in arcs:
+            uses[p] += alpha[b] * probability[k][p] * 2.0 ** (20 * (e - b)) * beta[e] / alpha[-1]
+        return math.log(alpha[-1]) - 20 * len(w) * math.log(2), uses
+
+    short = [w for w in words if len(w) < 45]
+    want = [[brute(w, k) for w in short] for k in (0, 1)]
+    for long, window in ((2048, 1 << 15), (30, 7), (0, 1000)):
+        monkeypatch.setattr(lattice, "LONG", long)
+        monkeypatch.setattr(lattice, "WINDOW", window)
+        assert np.allclose(model.log_probabilities(short), [[x[0] for x in w] for w in want], rtol=1e-9)
+        assert all(np.allclose(model.expected(short, k), sum(x[1] for x in want[k]), atol=1e-7) for k in (0, 1))
+        everything = model.log_probabilities(words)
+        assert np.isfinite(everything).all() and (long == 2048 or np.allclose(everything, before, rtol=1e-9))
+        before = everything
+
+
 def test_lattice_scores_long_unseen_words(spark):
     """Held-out words whose probability no double can hold, against sums over all segmentations."""
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
     other = [i for i in range(100) if i not in ids and zlib.crc32(str(i).encode()) % 7 != 2][:3]
-    words = ["qzxj9Kv" * 43, "qzxj9Kv" * 200, "龘靐齉爩" * 30, "unseen"]
+    words = ["qzxj9Kv" * 43, "qzxj9Kv" * 600, "龘靐齉爩" * 30, "unseen"]
     train = ["alpha beta beta gamma", "alpha delta", "beta epsilon"]
     df = frame(spark, [(i, t, "en", "a") for i, t in zip([*other, *ids], train + words, strict=True)], clashes=False)
     pieces = lattice.read_pieces(PIECES)
@@ -361,7 +396,8 @@ def test_lattice_scores_long_unseen_words(spark):
     n, once, twice = sum(c.values()), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
     d = min(max(once / (once + 2 * twice), 0.1), 0.95)
     end = math.log10((c["\n"] - d + d * len(c) / len(pieces)) / n)
-    want = {i: end + math.log10(d * len(c) / n) + total(b" " + w.translate(LOW).encode()) / math.log(10) for i, w in zip(ids, words, strict=True)}
+    rest = math.log10(d * len(c) / n * (1 - 1 / len(pieces)))  # the lattice and the end share a mass of 1
+    want = {i: end + rest + total(b" " + w.translate(LOW).encode()) / math.log(10) for i, w in zip(ids, words, strict=True)}
     found = {r.doc_id: r.score for r in lattice.score(df, PIECES, rounds=0).where("held_out").collect()}
     assert min(want.values()) < -2000 and sum(w < -310 for w in want.values()) == 3
     assert found.keys() == want.keys() and all(math.isclose(found[i], want[i], rel_tol=1e-6) for i in want)
