@@ -3,22 +3,32 @@
 A 64-bit fingerprint maps to the bit counts of its 32 segments of 2 bits.  The
 Manhattan distance of two such vectors is at most the number of bits in which
 the fingerprints differ, so fingerprints that link at RADIUS = 2 bits lie within
-2 of each other on this grid, and two vectors within 2 share a grid point within
-1 of both.  The range-join deals every fingerprint to the grid points within 1
-and keeps those that meet another.  They are then verified exactly: two
-fingerprints differ in at most 2 bits when, and only when, some 64-bit value is
-within 1 bit of both, and at most 65 fingerprints are within 1 bit of a value.
-All that meet at a value are linked to the smallest, which joins the same
-documents as all their pairs, so dense groups of near copies stay linear.
+2 of each other on this grid.  The range-join uses that vectors within 2 differ
+in at most two segments: of GROUPS groups of segments all but two are equal in
+both.  For each choice of two groups to leave out, a cell of the grid is what
+the others count; every fingerprint goes to its cell of each choice, 15 in all,
+and two within the distance meet in one of them at least.
+
+What meets in a cell is verified exactly, by the bits in which the pair differs.
+A cell with more than CROWD fingerprints isn't compared pair by pair: those who
+stand in one are verified by the 64-bit values within 1 bit of them.  Two
+fingerprints differ in at most 2 bits when, and only when, such a value is
+shared, and at most 65 fingerprints are within 1 bit of a value.  All that meet
+at a value are linked to the smallest, which joins the same documents as all
+their pairs, so dense groups of near copies stay linear.
 
 Defined results: null and empty texts have fingerprint zero; of fewer than
-three words the whole sequence is the shingle; repeated rows are documents of
-their own; a null doc_id is never the smallest, and rows that only link to such
-stay; an empty table gives no rows.
+three words the whole sequence is the shingle; a text of any length is hashed
+whole; repeated rows are documents of their own; a null doc_id is never the
+smallest, and rows that only link to such stay; other columns, whatever their
+names, are carried by drop_near_copies and ignored elsewhere; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +40,11 @@ from tessella.llm.components import components
 
 SHINGLE_WORDS = 3
 SEED = 42
+RADIUS = 2
+#: Groups of segments; RADIUS of them are left out in each choice, the others make a cell.
+GROUPS = 6
+#: Fingerprints in a cell above which the neighbourhoods of one bit are used instead of pairs.
+CROWD = 64
 
 
 def simhash(text: bytes) -> int:
@@ -57,20 +72,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in more)]))
 
 
-def embedding(fp: str) -> Column:
+def embedding_sql(fp: str) -> str:
     """The bit counts (0 to 2) of the 32 segments, 2 bits each in one long."""
     odd = 6148914691236517205  # 0x5555...
     low, high = f"({fp} & {odd}L)", f"(shiftrightunsigned({fp}, 1) & {odd}L)"
-    return F.expr(f"shiftleft({low} & {high}, 1) | ({low} ^ {high})")
+    return f"shiftleft({low} & {high}, 1) | ({low} ^ {high})"
+
 
+def cells(vector: str) -> Column:
+    """The cell of a vector for each choice of groups: a hash of the choice and what the other groups count.
 
-def grid_points(vector: str) -> Column:
-    """The points of the grid within Manhattan distance 1."""
-    near = [vector]
-    for k in range(0, 64, 2):
-        count, others = f"(shiftrightunsigned({vector}, {k}) & 3L)", f"({vector} & ~shiftleft(3L, {k}))"
-        near += [f"CASE WHEN {count} < 2 THEN {others} | shiftleft({count} + 1L, {k}) END", f"CASE WHEN {count} > 0 THEN {others} | shiftleft({count} - 1L, {k}) END"]
-    return F.array_compact(F.expr(f"array({', '.join(near)})"))
+    Unlike cells with one hash only meet to be found unlike when verified.
+    """
+    edges = [32 * g // GROUPS for g in range(GROUPS + 1)]
+    mask = [sum(3 << 2 * k for k in range(lo, hi)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    choices = [signed(sum(mask[g] for g in range(GROUPS) if g not in out)) for out in combinations(range(GROUPS), RADIUS)]
+    return F.expr(f"array({', '.join(f'xxhash64({i}, {vector} & {m}L)' for i, m in enumerate(choices))})")
 
 
 def within_one_bit(fp: str) -> Column:
@@ -80,13 +98,28 @@ def within_one_bit(fp: str) -> Column:
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v): links that join all fingerprints (column fp, distinct) at 2 or fewer differing bits.
 
-    Both joins ask for a shuffle: Spark's estimate doesn't see that explode makes many rows of each.
+    Fingerprints are dealt to tasks before they are multiplied, and once more by
+    cell; counting, choosing and comparing all use that one shuffle.  Joins ask
+    for a sort-merge: Spark's estimate doesn't see what explode makes of a row.
     """
-    points = distinct.select("fp", embedding("fp").alias("vector")).select("fp", F.explode(grid_points("vector")).alias("point"))
-    crowded = points.groupBy("point").agg(F.count("*").alias("n")).where("n > 1").select("point")
-    candidates = materialise(points.join(crowded.hint("merge"), "point", "left_semi").select("fp").distinct(), "candidates")
-    halfway = candidates.select("fp", F.explode(within_one_bit("fp")).alias("value"))
-    met = halfway.groupBy("value").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.select("fp").repartition(parts, "fp")
+    placed = dealt.select("fp", F.explode(cells(f"({embedding_sql('fp')})")).alias("cell")).repartition(parts, "cell")
+    # fps are distinct, so least <> most tells cells of more than one.
+    met = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("cell", "n")
+    members = placed.join(met.hint("merge"), "cell")
+    few = members.where(f"n <= {CROWD}")
+    a, b = few.select("cell", F.col("fp").alias("v")), few.select("cell", F.col("fp").alias("u"))
+    pairs = a.join(b.hint("merge"), "cell").where(f"v < u AND bit_count(u ^ v) <= {RADIUS}").select("u", "v").distinct()
+    crowded = members.where(f"n > {CROWD}").select("fp").distinct()
+    return pairs.unionByName(star_links(materialise(crowded, "crowded")))
+
+
+def star_links(distinct: DataFrame) -> DataFrame:
+    """The same for fingerprints of crowded cells, by the values within one bit of each."""
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    halfway = distinct.repartition(parts, "fp").select("fp", F.explode(within_one_bit("fp")).alias("value")).repartition(parts, "value")
+    met = halfway.groupBy("value").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v <> most").select("value", "v")
     return halfway.join(met.hint("merge"), "value").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 

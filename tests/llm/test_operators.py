@@ -277,8 +277,10 @@ def test_drop_near_copies(case):
     assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == set(heads)
 
 
-def test_dense_chains_of_fingerprints(spark):
-    """Chains and dense groups: every pair within two bits is joined, whatever the distance of their ends."""
+@pytest.mark.parametrize("crowd", [64, 1, 1 << 30])
+def test_dense_chains_of_fingerprints(spark, monkeypatch, crowd):
+    """Chains and dense groups: every pair within two bits is joined, whatever the distance of their ends, in full cells and in others."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(3)
     values = {0, -1, 1 << 62, -(1 << 63)}
     for _ in range(6):
@@ -286,6 +288,8 @@ def test_dense_chains_of_fingerprints(spark):
         for _ in range(40):
             at ^= sum({-(1 << 63) if b == 63 else 1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)})
             values.add(at)
+    center = int(rng.integers(0, 2**62))
+    values |= {center ^ 1 << int(b) for b in range(40)} | {center ^ 1 << int(a) ^ 1 << int(b) for a, b in rng.integers(0, 60, (300, 2))}
     values = sorted(values)
     found = simhash.components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")))
     label = {r.u: r.v for r in found.collect()}
