@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder below the shared one for what materialise writes meanwhile; it goes at the end.
+
+    Only results that have been written elsewhere may be used afterwards.
+    Without it intermediates stay until the shared folder is cleared.
+    """
+    from pyarrow import fs
+
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    before = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(before)
+        store, path = fs.FileSystem.from_uri(folder)
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            store.delete_dir(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,13 +70,26 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Columns by which with_identity tells rows apart.
+IDENTITY = ["no_id", "id", "row_hash"]
+
+
 def with_identity(df: DataFrame) -> DataFrame:
-    """df with _null, _id (its doc_id) and _h (hash of all its columns): rows with the same three are equal.
+    """row (all columns of df in one), no_id and id (of its doc_id) and row_hash: rows with the same IDENTITY are equal.
 
-    Nulls are marked in the hash, which would pass over them.
+    As the columns are inside row, none of their names can clash.  Nulls are
+    marked in the hash, which would pass over them.
     """
     each = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
-    return df.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_h": F.xxhash64(*each)})
+    return df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("doc_id").isNull().alias("no_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(*each).alias("row_hash"),
+    )
+
+
+def parts_of(spark: SparkSession) -> int:
+    """Partitions for a shuffle that must not be coalesced, since its rows are multiplied afterwards."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def running_total(df: DataFrame, order: list[Column], value: str, start: str) -> DataFrame:

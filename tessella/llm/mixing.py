@@ -11,7 +11,10 @@ blocks have been taken once.  Blocks and slots then meet by index.
 Defined results: a null or empty text has no words and is never taken; a null
 source is a source of its own, last in order; a source takes part with at most
 ``limit`` times its words, so each block is taken at most ``limit`` times;
-repeated rows are documents of their own; an empty table gives no rows.
+repeated rows are documents of their own, also those that share a doc_id; a null
+doc_id comes first in its source; texts of any length are counted and cut
+whole; other columns, whatever their names, are carried by mixed_documents and
+ignored elsewhere; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,28 +26,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import WORD, materialise, running_total, text_or_empty, with_identity
+from tessella.llm.common import IDENTITY, WORD, materialise, parts_of, running_total, text_or_empty, with_identity
 
 BLOCK = 128
 SHARDS = 64
 SEED = 20_240_917
 #: Slots that one row of the plan is spread over at a time.
 RUN = 1 << 16
+#: Sources up to which their table (some 60 bytes each) is sent to every task.
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float, limit: float) -> list[float]:
     """Words to take from each source: by weight, at most limit x size, the excess shared again."""
-    total, out, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
-    while open_:
-        unit = (total - sum(out[i] for i in range(len(sizes)) if i not in open_)) / sum(weights[i] for i in open_)
-        above = {i for i in open_ if unit * weights[i] > limit * sizes[i]}
-        for i in above:
-            out[i] = float(limit * sizes[i])
-        open_ -= above
-        if not above:
-            for i in open_:
-                out[i] = unit * weights[i]
-            break
+    left, weight, out = share * sum(sizes), sum(weights), [0.0] * len(sizes)
+    # The source that reaches its limit first comes first; from the first that doesn't on, none does.
+    for i in sorted(range(len(sizes)), key=lambda i: limit * sizes[i] / weights[i]):
+        out[i] = min(left * weights[i] / weight, float(limit * sizes[i]))
+        left, weight = left - out[i], weight - weights[i]
     return out
 
 
@@ -78,18 +77,10 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-#: Columns that with_identity adds.
-IDENTITY = ["_null", "_id", "_h"]
-
-
-def _identity(df: DataFrame) -> list[str]:
-    return [c for c in IDENTITY if c in df.columns]
-
-
-def _streams(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, the identity if docs have it, and all_before: words before this document, sources in order."""
-    sizes = docs.select("doc_id", "source", *_identity(docs), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-    return materialise(running_total(sizes, [F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("size"), *map(F.col, _identity(docs))], "size", "all_before"), "streams")
+def _streams(docs: DataFrame, *key: str) -> DataFrame:
+    """doc_id, source, size, key, and all_before: words before this document, sources in order."""
+    sizes = docs.select("doc_id", "source", *key, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+    return materialise(running_total(sizes, [F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("size"), *map(F.col, key)], "size", "all_before"), "streams")
 
 
 def _sources(streams: DataFrame, weights: list[float], share: float, limit: int, block: int) -> list[dict]:
@@ -111,7 +102,7 @@ def slots(spark, sources: list[dict], shards: int = SHARDS, seed: int = SEED) ->
     counts = draw_counts([s["slots"] for s in sources], shards, seed)
     begin = counts.cumsum(axis=0) - counts
     plan = [(k, s["src"], int(begin[k, i]), int(counts[k, i]), s["blocks"]) for k in range(shards) for i, s in enumerate(sources) if counts[k, i]]
-    plan = spark.createDataFrame(plan, "shard int, src int, begin long, n long, blocks long").repartition("shard", "src")
+    plan = spark.createDataFrame(plan, "shard int, src int, begin long, n long, blocks long")
 
     @F.pandas_udf("long")
     def place(src: pd.Series, slot: pd.Series, blocks: pd.Series) -> pd.Series:
@@ -119,29 +110,28 @@ def slots(spark, sources: list[dict], shards: int = SHARDS, seed: int = SEED) ->
         key = (np.uint64(seed) * np.uint64(1_000_003)) ^ (src.to_numpy().astype(np.uint64) << np.uint64(20)) ^ turn.astype(np.uint64)
         return pd.Series(permuted(slot.to_numpy() % b, b, key))
 
-    runs = plan.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")))
+    runs = plan.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})"))).repartition(parts_of(spark), "shard", "src", "run")
     each = runs.select("shard", "src", "blocks", F.explode(F.expr(f"sequence(begin + run * {RUN}, begin + least(n, (run + 1) * {RUN}) - 1)")).alias("slot"))
     return each.select("shard", "src", "slot", place("src", "slot", "blocks").alias("block"))
 
 
-def block_uses(docs: DataFrame, weights=(3, 1, 2), share=1.5, limit=2, block=BLOCK, shards=SHARDS, seed=SEED) -> DataFrame:
+def block_uses(docs: DataFrame, *key: str, weights=(3, 1, 2), share=1.5, limit=2, block=BLOCK, shards=SHARDS, seed=SEED) -> DataFrame:
     """A row per document and block it has words in: doc_id, source, size, source_size, target, all_before, from_word, words, uses.
 
     from_word: first word of the document in that block (0 is the first of the
-    document); uses: how often the mixture takes the block.  The identity of
-    docs' rows is carried where they have it.
+    document); uses: how often the mixture takes the block.  The columns of key
+    are carried.
     """
-    spark, streams = docs.sparkSession, _streams(docs)
+    spark, streams = docs.sparkSession, _streams(docs, *key)
     sources = _sources(streams, list(weights), share, limit, block)
     known = spark.createDataFrame([(s["src"], s["source"], s["first"], s["source_size"], s["target"]) for s in sources], "src int, source string, first long, source_size long, target double")
     taken = slots(spark, sources, shards, seed).groupBy("src", "block").agg(F.count("*").alias("uses"))
-    placed = streams.join(F.broadcast(known), streams.source.eqNullSafe(known.source)).drop(known.source).withColumn("start", F.col("all_before") - F.col("first"))
-    # One row per source is broadcast: mixing weights are set by hand for each.
+    placed = streams.join(F.broadcast(known) if len(sources) <= BROADCAST_SOURCES else known, streams.source.eqNullSafe(known.source)).drop(known.source).withColumn("start", F.col("all_before") - F.col("first"))
     cut = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))))
     lo, hi = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     # Spark's estimate of taken doesn't see the explode in it, so it must be told to shuffle.
     return cut.join(taken.hint("merge"), ["src", "block"], "left").select(
-        "doc_id", *_identity(docs), "source", "size", "source_size", "target", "all_before", (lo - F.col("start")).alias("from_word"), F.coalesce(hi - lo, F.lit(0)).alias("words"), F.coalesce("uses", F.lit(0)).alias("uses")
+        "doc_id", *key, "source", "size", "source_size", "target", "all_before", (lo - F.col("start")).alias("from_word"), F.coalesce(hi - lo, F.lit(0)).alias("words"), F.coalesce("uses", F.lit(0)).alias("uses")
     )
 
 
@@ -164,23 +154,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Parts find their row by doc_id and a hash of the row; of equal rows one
     takes the parts of all.
     """
-    rows = with_identity(docs)
-    uses = block_uses(rows, **options).where("uses > 0")
-    turns = uses.withColumn("_turn", F.explode(F.expr("sequence(1L, uses)")))
-    parts = turns.groupBy(*IDENTITY, "all_before", "_turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("_parts"))
-    names = docs.columns
+    rows, names = with_identity(docs), docs.columns
+    uses = block_uses(rows.select("row.doc_id", "row.source", "row.text", *IDENTITY), *IDENTITY, **options).where("uses > 0")
+    turns = uses.withColumn("turn", F.explode(F.expr("sequence(1L, uses)")))
+    parts = turns.groupBy(*IDENTITY, "all_before", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("parts"))
     # The join finds its rows where the window has put them, so texts are shuffled once.
     copy = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.lit(0)))
-    joined = rows.withColumn("_copy", copy).where("_copy = 1").join(parts.select(*IDENTITY, "_parts"), IDENTITY).select(*names, "_parts")
+    joined = rows.withColumn("copy", copy).where("copy = 1").join(parts, IDENTITY).select("row", "parts")
 
     def cut(batches):
         for b in batches:
-            texts = []
-            for text, spans in zip(b.column("text"), b.column("_parts"), strict=True):
+            texts, row = [], dict(zip(names, b.column("row").flatten(), strict=True))
+            for text, spans in zip(row["text"], b.column("parts"), strict=True):
                 words = (text.as_py() or "").encode().split()
                 texts.append(b" ".join([w for s in spans.as_py() for w in words[s["from_word"] : s["from_word"] + s["words"]]]).decode())
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else row[c] for c in names], names=names)
 
     # In Python: an array function over the words of a text would split it anew for each span.
     return joined.mapInArrow(cut, T.StructType([T.StructField(f.name, T.LongType()) if f.name == "n_chars" else f for f in docs.schema]))

@@ -14,7 +14,10 @@ no inputs.
 Defined results: null and empty texts score like a text of nothing; labels that
 are null or without a text are left out; several labels of a document each
 count; with labels of one value or none the score is their smoothed mean
-everywhere; repeated rows are scored alike; an empty table gives no rows.
+everywhere; repeated rows are scored alike; a null doc_id counts as held out;
+texts of any length are read whole; other columns, whatever their names, are
+carried by kept and by classify (which replaces score and predicted) and ignored
+elsewhere; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -192,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(~held_out()).where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
     # No more rows than the sample: safe to send to every task, and back to the driver as features.
-    rows = docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select(F.col("_id").cast("long").alias("_id"), "y", text_or_empty().cast("binary").alias("text"))
+    texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select(F.col("_id").cast("long").alias("_id"), "y", "text")
     fitted = sorted(_features(rows).collect(), key=lambda r: (r["_id"], r.y, r.x))
     return fit(np.array([r.x for r in fitted], dtype=float).reshape(len(fitted), len(FEATURES)), np.array([r.y for r in fitted], dtype=float))
 
@@ -212,6 +216,18 @@ def classify(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def kept(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
+    """The rows of docs that score keep or more, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            x = [features((t.as_py() or "").encode()) for t in b.column("text")]
+            yield b.filter(pa.array(sent.value.score(np.array(x, dtype=float).reshape(len(x), len(FEATURES))) >= keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted: a row per row of docs."""
     return classify(docs.select("doc_id", "text"), train(docs, labels, sample)).select("doc_id", held_out().alias("held_out"), "score", "predicted")

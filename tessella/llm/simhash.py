@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialise, with_identity
+from tessella.llm.common import IDENTITY, materialise, parts_of, with_identity
 from tessella.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -60,9 +60,8 @@ def simhash(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, and _h where docs have it."""
-    more = [c for c in docs.columns if c == "_h"]
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp, and more columns of longs."""
 
     def run(batches):
         for b in batches:
@@ -102,7 +101,7 @@ def links(distinct: DataFrame) -> DataFrame:
     cell; counting, choosing and comparing all use that one shuffle.  Joins ask
     for a sort-merge: Spark's estimate doesn't see what explode makes of a row.
     """
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(distinct.sparkSession)
     dealt = distinct.select("fp").repartition(parts, "fp")
     placed = dealt.select("fp", F.explode(cells(f"({embedding_sql('fp')})")).alias("cell")).repartition(parts, "cell")
     # fps are distinct, so least <> most tells cells of more than one.
@@ -117,15 +116,15 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def star_links(distinct: DataFrame) -> DataFrame:
     """The same for fingerprints of crowded cells, by the values within one bit of each."""
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(distinct.sparkSession)
     halfway = distinct.repartition(parts, "fp").select("fp", F.explode(within_one_bit("fp")).alias("value")).repartition(parts, "value")
     met = halfway.groupBy("value").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v <> most").select("value", "v")
     return halfway.join(met.hint("merge"), "value").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, root, component_id, and _h where docs have it: a row per row of docs; a group has one root."""
-    fps = materialise(fingerprints(docs), "fingerprints")
+def _grouped(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp, root, component_id, and more columns of docs: a row per row of docs; a group has one root."""
+    fps = materialise(fingerprints(docs, *more), "fingerprints")
     heads = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
     roots = components(links(heads))
     members = roots.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(roots.select("v", "v").distinct())
@@ -147,13 +146,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     A group keeps one row with its smallest doc_id, that with the smallest hash
     where several rows have it; a group of null doc_ids keeps all its rows.
     """
-    rows, key = with_identity(docs), ["_null", "_id", "_h"]
-    alone = F.when(F.col("doc_id").isNull(), F.col("_h"))
-    heads = _grouped(rows).where("doc_id <=> component_id").groupBy("root", "doc_id", alone.alias("_alone")).agg(F.min("_h").alias("_h"))
-    stay = heads.select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "_h")
+    rows = with_identity(docs)
+    grouped = _grouped(rows.select("row.doc_id", "row.text", "row_hash"), "row_hash")
+    alone = F.when(F.col("doc_id").isNull(), F.col("row_hash"))
+    heads = grouped.where("doc_id <=> component_id").groupBy("root", "doc_id", alone.alias("alone")).agg(F.min("row_hash").alias("row_hash"))
+    stay = heads.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row_hash")
     # The window finds its rows where the join has put them, so texts are shuffled once.
-    copy = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    return rows.join(stay, key, "left_semi").withColumn("_copy", copy).where("_copy = 1 OR _null").select(*docs.columns)
+    copy = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.lit(0)))
+    return rows.join(stay, IDENTITY, "left_semi").withColumn("copy", copy).where("copy = 1 OR no_id").select("row.*")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
