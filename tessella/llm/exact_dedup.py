@@ -4,16 +4,25 @@ The index maps the 64-bit hash of a normalised text to the chain of texts that
 have that hash.  A directory of 2^depth slots, addressed by the leading bits of
 the hash, points to buckets; a bucket that holds more than ``capacity`` chains
 splits on its next bit, and the directory doubles when the deepest bucket does.
-Buckets are ranges of the hash, so the owner tasks that write the index files
-each take a range of keys.  Only DataFrame functions are used.
+A bucket is a range of the hash and belongs to one owner task: texts go to the
+owner of the bucket that the directory names, which compares them byte by byte
+(as a grouping key) and numbers the unlike ones of one hash as a chain.
+Documents are looked up the same way: directory, bucket, hash, and along the
+chain.  Copies of a text that more than one in HOT_PART rows has collapse before
+they are sent to the owner.  Only DataFrame functions are used.
 
 Defined results:
 * null text is the empty text; texts are equal when they are identical after
-  every run of blanks became one space (leading and trailing ones too);
+  every run of blanks became one space (leading and trailing ones too), whatever
+  their length;
 * of equal texts the row with the smallest doc_id stays; a null doc_id comes
   after all others; repeated rows of one doc_id and text are one document each,
   of which one stays;
-* an empty table gives an empty result; other columns are ignored.
+* the directory ends at 2^LEAF_BITS slots, so it can be sent to every task;
+  beyond LEAF_BITS doublings buckets hold more than ``capacity``, with the same
+  results;
+* an empty table gives an empty result; other columns, whatever their names, are
+  carried by drop_copies and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -21,12 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import BLANKS, materialise, text_or_empty
+from tessella.llm.common import BLANKS, materialise, parts_of, text_or_empty
 
-#: Slots up to which the directory is sent to every task (16 bytes a slot).
-BROADCAST_SLOTS = 1 << 20
-#: Bits of the hash by which chains are counted before the directory is laid out.
+#: Bits of the hash by which chains are counted before the directory is laid out; it has 2^20 slots of 20 bytes at most.
 LEAF_BITS = 20
+#: A hash with more than one row in so many is hot, so fewer hashes than that are.
+HOT_PART = 1000
 
 
 def normalised(column: str = "text") -> Column:
@@ -64,13 +73,19 @@ def directory(hashes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     return found.select("slot", bucket.alias("bucket"), "local_depth"), depth
 
 
-def build_index(docs: DataFrame, capacity: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def _in_bucket(hashed: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """hashed (column h) with the bucket and local_depth that the directory names."""
+    return hashed.withColumn("slot", _leading("h", depth)).join(F.broadcast(slots), "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, capacity: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(keys, index): a row per document, and a row per distinct text.
 
-    keys: doc_id, h, text_sha256, copies (rows that repeat this doc_id and text).
-    index: bucket, h, chain (position among the texts of that hash),
-    text_sha256, keep_id, group_size.
+    keys: bucket, doc_id, h, text_sha256, copies (rows that repeat this doc_id
+    and text).  index: bucket, local_depth, h, chain (position among the texts
+    of that hash), text_sha256, keep_id, group_size; files hold whole buckets.
     """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", normalised().alias("norm"))
     keys = materialise(
         rows.select("doc_id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"))
@@ -78,36 +93,41 @@ def build_index(docs: DataFrame, capacity: int = 50_000) -> tuple[DataFrame, Dat
         "keys",
     )
     slots, depth = directory(keys, capacity)
-    slots = F.broadcast(slots) if 1 << depth <= BROADCAST_SLOTS else slots
-    # Copies collapse in the map tasks; what is left is compared byte by byte as a grouping key.
-    texts = (
-        rows.withColumn("h", F.xxhash64("norm"))
-        .groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    slots = materialise(slots, "directory")
+    limit = (keys.agg(F.sum("copies")).first()[0] or 0) // HOT_PART
+    # Fewer than HOT_PART hashes, by pigeonhole: safe to send to every task.
+    hot = F.broadcast(keys.groupBy("h").agg(F.sum("copies").alias("n")).where(F.col("n") > max(1, limit)).select("h"))
+    hashed = rows.withColumn("h", F.xxhash64("norm"))
+    # Copies of a hot text collapse in the map tasks, so its owner gets a few rows.
+    collapsed = hashed.join(hot, "h", "left_semi").groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    others = hashed.join(hot, "h", "left_anti").select("h", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    owners = _in_bucket(others.unionByName(collapsed), slots, depth).repartition(parts_of(spark), "bucket")
+    owned = (
+        owners.groupBy("bucket", "local_depth", "h", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        .select("bucket", "local_depth", "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    owned = texts.withColumn("slot", _leading("h", depth)).join(slots, "slot").repartitionByRange("bucket", "h")
-    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("keep_id", "text_sha256")) - 1)
-    index = materialise(chained.select("bucket", "local_depth", "h", "chain", "text_sha256", "keep_id", "group_size"), "index")
-    return keys, index
+    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("keep_id", "text_sha256")) - 1
+    chained = owned.withColumn("chain", chain).select("bucket", "local_depth", "h", "chain", "text_sha256", "keep_id", "group_size")
+    return _in_bucket(keys, slots, depth).drop("local_depth"), materialise(chained, "index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = 20_000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, bucket, chain: one row per row of docs."""
     keys, index = build_index(docs, capacity)
     # A hot text has one row in the index, so its many keys are split by AQE's skew join.
-    found = keys.join(index, ["h", "text_sha256"])
+    found = keys.join(index, ["bucket", "h", "text_sha256"])
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256", "bucket", "chain")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    key = lambda df: df.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
-    stay = key(exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_sha"))).select("_null", "_id", "_sha")
+    key, no_id, id_ = ["no_id", "id", "sha"], F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    stay = exact_dedup(docs).where("kept").select(no_id.alias("no_id"), id_.alias("id"), F.col("text_sha256").alias("sha"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), no_id.alias("no_id"), id_.alias("id"), F.sha2(normalised(), 256).alias("sha"))
     # The window finds its rows where the join has put them, so texts are shuffled once.
-    kept = key(docs.withColumn("_sha", F.sha2(normalised(), 256))).join(stay, ["_null", "_id", "_sha"], "left_semi")
-    first = Window.partitionBy("_null", "_id", "_sha").orderBy(F.lit(0))
-    return kept.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    return rows.join(stay, key, "left_semi").withColumn("copy", first).where("copy = 1").select("row.*")
 
 
 ORACLE = r"""
