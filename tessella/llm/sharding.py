@@ -1,16 +1,23 @@
 """Sharding by vector bin packing: bytes, tokens and rows in balance.
 
-Groups of equal texts are the things to place.  A group that is large against a
-shard is cut into pieces; all other groups are gathered by hash into a fixed
-number of cells, so what is placed is bounded whatever the input.  Largest
-first, each goes to the shard where the dot product of its vector with the
-shard's residual capacity is highest.
+Groups of equal texts are the things to place, each as a vector of its bytes,
+tokens and rows.  Largest first (by its greatest part of a shard in any of
+them), each goes to the shard where the dot product of its vector with the
+shard's residual capacity is highest, among those whose bytes it doesn't push
+over their capacity.  What is placed is bounded whatever the
+input: a group that holds over LARGE of a shard is placed on its own, all
+smaller ones are gathered by hash into a fixed number of cells, which keep equal
+texts together.
 
 Law ``bytes``: the shards' sizes are near equal.
 
 Defined results: a null text has no bytes; empty and equal texts are groups
-like any other; repeated rows each get a slot; slots are gapless from 0 in each
-shard; an empty table gives no rows.
+like any other; a group stays in one shard unless it is more than a whole shard
+in bytes, tokens or rows, and is then dealt by doc_id to as few pieces as that
+takes; repeated rows, rows of one doc_id and rows of null doc_id each get a
+slot; slots are gapless from 0 in each shard; texts of any length are counted
+whole; other columns, whatever their names, are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -24,21 +31,23 @@ from tessella.llm.common import WORD, materialise, text_or_empty
 SHARDS = 40
 #: Cells that gather the smaller groups, for each shard.
 CELLS_PER_SHARD = 64
-#: A group is large when it holds over this part of a shard in any dimension.
-LARGE = 1 / 32
+#: A group is placed on its own when it holds over this part of a shard in any dimension.
+LARGE = 1 / 1024
 OVERHEAD = 16
 DIMENSIONS = ("size", "tokens", "rows")
-#: What each dimension counts in the choice of a shard; the law is on bytes.
-WEIGHTS = np.array([1.0, 0.05, 0.02])
+#: Part by which a shard's bytes, on which the law is, may exceed its capacity while another still has room.
+ROOM = 0.002
 
 
-def place(vectors: np.ndarray, shards: int, weights: np.ndarray = WEIGHTS) -> np.ndarray:
-    """The shard of each row of vectors (one column per dimension)."""
+def place(vectors: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each row of vectors (one column per dimension, the law's first)."""
     capacity = np.maximum(vectors.sum(axis=0) / shards, 1e-9)
     need = vectors / capacity
     residual, out = np.ones((shards, vectors.shape[1])), np.zeros(len(vectors), dtype=int)
-    for i in np.lexsort((np.arange(len(vectors)), -need[:, 0])):
-        out[i] = best = int(np.argmax(residual @ (need[i] * weights)))
+    for i in np.lexsort((np.arange(len(vectors)), -need.max(axis=1))):
+        fits = residual[:, 0] - need[i, 0] >= -ROOM
+        # Where it fits in no shard, the one with most room for bytes.
+        out[i] = best = int(np.argmax(np.where(fits, residual @ need[i], -np.inf) if fits.any() else residual[:, 0]))
         residual[best] -= need[i]
     return out
 
@@ -57,9 +66,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     if not total["rows"]:
         total = {"size": 0, "tokens": 0, "rows": 0}
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    part = F.greatest(*(F.col(d) / F.lit(max(total[d], 1) / shards * LARGE) for d in DIMENSIONS))
-    # At most 3 x 32 x shards groups can be large, so they may be broadcast.
-    large = rows.groupBy("key", "text_crc32").agg(*sums).select("key", "text_crc32", F.ceil(part).cast("long").alias("pieces")).where("pieces > 1")
+    part = F.greatest(*(F.col(d) / F.lit(max(total[d], 1) / shards) for d in DIMENSIONS))
+    # At most 3 x 1024 x shards groups can be large, so they may be broadcast.
+    large = rows.groupBy("key", "text_crc32").agg(*sums).where(part > LARGE).select("key", "text_crc32", F.ceil(part).cast("long").alias("pieces"))
     cells = shards * CELLS_PER_SHARD
     unit = F.when(F.col("pieces").isNull(), F.pmod("key", F.lit(cells)).cast("string")).otherwise(
         F.concat_ws("/", F.lit("large"), "key", "text_crc32", F.pmod(F.xxhash64("doc_id"), "pieces"))
