@@ -11,8 +11,9 @@ hashes, 7 hex digits each, ascending>``.
 Defined results: null is the empty text; a text shorter than a shingle is one
 shingle; where a text keeps no hash its likeness is 1 to a fingerprint of an
 equal text and else 0; doc_id null comes first in order, equal doc_ids are
-ordered by text; the only document is its own next one; an empty table gives no
-rows.
+ordered by text; the only document is its own next one; repeated rows each give
+a row; texts of any length are hashed whole; other columns, whatever their
+names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from tessella.llm.common import text_or_empty
 SHINGLE = 16
 #: Hashes are of 32 bits; those below 2^28 (one in 16) are kept.
 BITS, KEPT_BITS = 32, 28
-GROUP_BYTES = 8 << 20
+#: Text in a range of neighbours, and ranges at most (their first ids, 8 bytes each, are sent to every task).
+GROUP_BYTES, GROUPS = 8 << 20, 20_000
 FIRST = -(2**63)
 
 
@@ -76,17 +78,18 @@ def edited(text: str, following: str) -> str:
 
 
 def _firsts(spark: SparkSession, docs: DataFrame, group_bytes: int) -> np.ndarray:
-    """The first doc_id of each group of neighbours: 8 bytes for every group_bytes of text."""
+    """The first doc_id of each range of neighbours, GROUPS at most."""
     size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
-    ids = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("id")).repartitionByRange(int(size // group_bytes) + 1, "id")
+    ids = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("id")).repartitionByRange(min(int(size // group_bytes) + 1, GROUPS), "id")
     return np.array(sorted(r[0] for r in ids.groupBy(F.spark_partition_id()).agg(F.min("id").alias("id")).select("id").collect()), dtype=np.int64)
 
 
 def neighbours_fingerprinted(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are dealt to groups of neighbouring ids; the first document of a
-    group goes to the group before it too, so the text moves once.
+    Documents are dealt to ranges of neighbouring ids; the first document of a
+    range goes to the range before it too, so the text moves once.  A task reads
+    its ranges in order and holds two documents at a time.
     """
     spark = docs.sparkSession
     firsts = spark.sparkContext.broadcast(_firsts(spark, docs, group_bytes))
@@ -102,20 +105,26 @@ def neighbours_fingerprinted(docs: DataFrame, group_bytes: int = GROUP_BYTES) ->
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)))
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        keys, carried = table.column("id").to_pylist(), table.column("carried").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (carried[i], keys[i], texts[i]))
-        own = [i for i in order if not carried[i]]
-        out = []
-        prints = fingerprint(texts[own[0]].encode()) if own else None
-        for k, i in enumerate(own):
-            after = order[k + 1]  # the carried document follows the last
-            text, following = texts[i], texts[after]
-            changed = edited(text, following).encode()
-            mine, theirs, new = prints, fingerprint(following.encode()), fingerprint(changed)
-            out.append((ids[i], len(text), hashlib.sha256(changed).hexdigest(), mine[0], new[0], likeness(*mine[1:], *new[1:]), likeness(*mine[1:], *theirs[1:])))
-            prints = theirs
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds.types, strict=True)], schema=kinds)
+    def run(batches):
+        grp, before, out = None, None, []
 
-    return dealt.groupBy("grp").applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        def pair(row, after):
+            (id_, text, mine), (_, following, theirs) = row, after
+            changed = edited(text, following).encode()
+            new = fingerprint(changed)
+            return id_, len(text), hashlib.sha256(changed).hexdigest(), mine[0], new[0], likeness(*mine[1:], *new[1:]), likeness(*mine[1:], *theirs[1:])
+
+        for b in batches:
+            for own, carried, id_, text in zip(*(b.column(c).to_pylist() for c in ("grp", "carried", "doc_id")), b.column("text"), strict=True):
+                text = text.as_py()
+                now = None if carried and (own != grp or before is None) else (id_, text, fingerprint(text.encode()))
+                if own == grp and before is not None and now is not None:
+                    out.append(pair(before, now))
+                # Of the carried documents, which come last and may share a doc_id, only the first follows one.
+                grp, before = own, None if carried else now
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
+                out = []
+
+    ranged = dealt.repartition(max(1, len(firsts.value)), "grp").sortWithinPartitions("grp", "carried", "id", "text")
+    return ranged.select("grp", "carried", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
