@@ -20,8 +20,9 @@ Texts are compared as bytes in the buckets; hashes only deal them out.
 
 Defined results: null and empty texts have no words; a null doc_id counts as
 larger than all others; rows with the same doc_id never remove words from each
-other; documents under WINDOW words keep everything; an empty table gives no
-rows.
+other; documents under WINDOW words keep everything; texts of any length are
+read whole; other columns, whatever their names, are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -262,7 +263,8 @@ def repeats_removed(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFra
     lists = overview.select("ord", "key", F.explode("minimisers").alias("least")).distinct()
     shared = (
         lists.groupBy("least").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.count("*").alias("n"))
-        .where("low < high").select("least", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+        # A document has as many windows of a minimiser as there are places for it in one.
+        .where("low < high").select("least", F.when(F.col("n") <= hot, 1).otherwise(F.ceil(F.col("n") * (WINDOW - GRAM + 1) / hot)).cast("int").alias("parts"))
     )
     wanted = lists.join(shared.hint("merge"), "least").groupBy("ord", "key").agg(F.collect_list(F.struct("least", "parts")).alias("wanted"))
     senders = materialise(rows.join(wanted, ["ord", "key"]).select("ord", "key", "text", "wanted").dropDuplicates(["ord", "key"]), "senders")
