@@ -7,8 +7,10 @@ the widest matrix, whose rounds would cost the square of their length, merge in
 the same order by a heap.
 
 Defined results: null and empty texts have no ids; text that looks like a
-special token is ordinary text; every row of the input gives one row; columns
-ids and decoded of the input are replaced.
+special token is ordinary text; texts of any length are encoded whole; every row
+of the input gives one row, also where doc_id is null or comes again; columns ids
+and decoded of the input are replaced, all others carried, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -209,7 +211,7 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return _with_binary(coded, "ids", "decoded", lambda: Codec(tokens.value, pattern).decode)
 
 
-def digests(coded: DataFrame, *more: str) -> DataFrame:
+def digests(coded: DataFrame, *more) -> DataFrame:
     return coded.select(
         "doc_id", *more, F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -11,8 +11,9 @@ of the key and the shard, offset and length of its ids, so a key is found or
 rejected in constant time.
 
 Defined results: null and empty texts have only the end id; a null doc_id comes
-first; repeated doc_ids are copies 0, 1, ... in order of text; an empty table
-gives an index without buckets and no rows.
+first; repeated doc_ids are copies 0, 1, ... in order of text; texts of any
+length are encoded whole; other columns, whatever their names, are ignored; an
+empty table gives an index without buckets and no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from tessella.llm.units import Remembering, parts, slices
 END = 2
 #: Text of a shard: a task remembers what it has encoded, so larger shards encode less anew.
 SHARD_BYTES = 64 << 20
+#: Shards at most (one row each is sent to every task); beyond that they grow.
+SHARDS = 20_000
 #: Ids that are read and sent on at a time.
 READ_BYTES = 4 << 20
 BUCKET_KEYS = 20_000
@@ -140,7 +143,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = id_width(tokenizer_path)
-    ordered = rows.repartitionByRange(int(size // shard_bytes) + 1, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(min(int(size // shard_bytes) + 1, SHARDS), "doc_id").sortWithinPartitions("doc_id", "text")
     kinds = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
@@ -257,7 +260,7 @@ def read_ids(found: DataFrame, catalog: DataFrame, folder: str, width: int) -> D
     """found with ``ids`` (little-endian unsigned 32-bit) and ``start`` (ids of all documents before), read from the shards, each in order of offset."""
     sizes = catalog.groupBy("shard").agg(F.first("file").alias("file"), F.sum("n_tokens").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("shard", "file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))  # one row for SHARD_BYTES of text
+    bases = sizes.select("shard", "file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))  # SHARDS rows at most
     kinds = "doc_id long, copy int, start long, ids binary"
     schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("start", pa.int64()), ("ids", pa.binary())])
 

@@ -23,7 +23,8 @@ by sums over arrays.  Text itself is never shuffled.
 Defined results: null and empty texts are an end only; texts of null and rarer
 languages are learned as one more language; without training texts the
 segmented part has all the weight; repeated rows are documents of their own; a
-null doc_id counts as held in; an empty table gives no rows.
+null doc_id counts as held in; texts and words of any length are read whole;
+other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

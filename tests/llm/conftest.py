@@ -17,7 +17,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def frame(spark, rows, clashes=True):
     df = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], SCHEMA).repartition(3)
     if clashes:
-        for name in ("size", "key", "h", "norm", "kept", "bucket", "slot", "shard", "unit", "start", "ids", "decoded", "fp", "component_id", "score", "predicted", "word", "block", "copy", "x", "ord", "grp", "all_before"):
+        for name in ("size", "key", "h", "norm", "kept", "bucket", "slot", "shard", "unit", "start", "ids", "decoded", "fp", "component_id", "score", "predicted", "word", "block", "copy", "x", "ord", "grp", "all_before", "y", "_id", "_parts", "_sha", "_copy", "_null", "_range", "_h", "row", "row_hash", "no_id", "id", "sha", "parts", "turn", "root", "head", "n", "cell", "value", "u", "v", "slot", "piece", "keep_id", "group_size", "carried", "label", "held_out", "src", "uses", "words"):
             df = df.withColumn(name, F.lit("clash"))
     return df
 

@@ -6,10 +6,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 import corpus_pipeline
-from tessella.llm import byte_bpe, quality
+from tessella.llm import byte_bpe, mixing, quality
+from tests.llm.conftest import ROWS, frame
 from tests.llm.test_operators import RANKS, WORDS, brute_components, brute_simhash, ordered
 
 
@@ -59,3 +61,77 @@ def test_stages(spark, small):
 def test_run_gives_what_the_stages_give(spark, small):
     found = corpus_pipeline.run(spark, small)
     assert found.count() > 0 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(found.columns)
+    ids = spark.read.parquet(found.first().ids_path)
+    assert ordered((r.doc_id, hashlib.sha256(r.ids).hexdigest()) for r in ids.collect()) == ordered((r.doc_id, r.ids_sha256) for r in found.collect())
+
+
+@pytest.fixture
+def land(spark, tmp_path):
+    """Writes documents (with columns of clashing names) and labels to a folder."""
+
+    def write(rows, labels=()):
+        frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+        spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+        return str(tmp_path)
+
+    return write
+
+
+def test_stages_on_odd_rows(spark, land):
+    """Nulls, empty and very long texts, ties, rows that repeat or share a doc_id, and clashing names, each stage on its own input."""
+    twin = [(7, "n0 n1 n2 n3 n4", "en", "a"), (7, "m0 m1 m2", "en", "a"), (None, None, None, None), (None, "no id", "en", "b")]
+    folder = land([*ROWS, *twin])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = stage(spark, docs, folder).cache()
+        kept[name] = (before, docs.collect())
+        assert name == "byte-level BPE" or docs.columns == columns
+    text = lambda r: r.text or ""
+
+    before, after = kept["quality classifier"]
+    assert ordered(after) == ordered(before)  # no labels
+
+    before, after = kept["exact dedup"]
+    norm = lambda r: re.sub(r"[\x20\x09-\x0D]+", " ", text(r))
+    first = {}
+    for r in before:
+        first.setdefault(norm(r), []).append((r.doc_id is None, r.doc_id or 0))
+    assert sorted((norm(r), r.doc_id is None, r.doc_id or 0) for r in after) == sorted((k, *min(v)) for k, v in first.items())
+
+    before, after = kept["SimHash near-dedup"]
+    heads = brute_components([(r.doc_id, brute_simhash(text(r))) for r in before])
+    groups = {}
+    for r, h in zip(before, heads, strict=True):
+        groups.setdefault(h, []).append(r)
+    for h, own in groups.items():
+        stay = [r for r in after if r in own and r.doc_id == h]
+        assert len(stay) >= 1 and (h is None or len({brute_simhash(text(r)) for r in stay}) == len(stay))
+    assert {r.doc_id for r in after} == set(heads)
+
+    before, after = kept["mixing sources"]
+    have, out = Counter(w for r in before for w in WORDS(text(r))), Counter(w for r in after for w in WORDS(r.text))
+    assert all(n <= 2 * have[w] for w, n in out.items()) and all(r.n_chars == len(r.text) for r in after)
+    own = {}
+    for r in before:
+        own.setdefault(r.doc_id, set()).update(WORDS(text(r)))
+    assert all(set(WORDS(r.text)) <= own[r.doc_id] for r in after)
+
+    before, after = kept["byte-level BPE"]
+    assert ordered((r.doc_id, r.decoded_sha256) for r in after) == ordered((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in before)
+
+
+def test_mixing_counts_each_row_once(spark, land):
+    """Two rows of each doc_id: as many words come out as the mixture takes."""
+    rows = [(i, " ".join(f"{c}{i}_{k}" for k in range(8)), "en", "a") for i in (1, 2) for c in "pq"]
+    folder = land(rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert sum(r.taken for r in mixing.taken_words(docs, block=4).collect()) == 48
+    assert sum(len(WORDS(r.text)) for r in mixing.mixed_documents(docs, block=4).collect()) == 48
+    taken = sum(r.taken for r in mixing.taken_words(docs).collect())
+    assert sum(len(WORDS(r.text)) for r in corpus_pipeline.mixing_stage(spark, docs, folder).collect()) == taken
+
+
+def test_run_on_an_empty_table(spark, land):
+    assert corpus_pipeline.run(spark, land([])).collect() == []
