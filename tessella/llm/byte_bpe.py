@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,9 @@ class PairTable:
 
     def __init__(self, tokens: list[bytes]):
         rank = {t: i for i, t in enumerate(tokens)}
-        pairs = [(a, b, i) for i, t in enumerate(tokens) for k in range(1, len(t)) if (a := rank.get(t[:k])) is not None and (b := rank.get(t[k:])) is not None]
-        a, b, merged = np.array(pairs, dtype=np.uint64).reshape(-1, 3).T
-        self.bits = max(4, int(len(pairs) * 2).bit_length())
+        pairs = ((a, b, i) for i, t in enumerate(tokens) for k in range(1, len(t)) if (a := rank.get(t[:k])) is not None and (b := rank.get(t[k:])) is not None)
+        a, b, merged = np.fromiter(chain.from_iterable(pairs), dtype=np.uint64).reshape(-1, 3).T
+        self.bits = max(4, int(len(a) * 2).bit_length())
         self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, dtype=np.uint64)
         self.ids = np.full(1 << self.bits, NONE, dtype=np.int32)
         key, at = (a << np.uint64(32)) | b, self._slot(a, b)

@@ -22,11 +22,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.common import IDENTITY, WORD, materialise, parts_of, running_total, text_or_empty, with_identity
+from tessella.llm.units import slices
 
 BLOCK = 128
 SHARDS = 64
@@ -163,13 +165,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     joined = rows.withColumn("copy", copy).where("copy = 1").join(parts, IDENTITY).select("row", "parts")
 
     def cut(batches):
-        for b in batches:
-            texts, row = [], dict(zip(names, b.column("row").flatten(), strict=True))
-            for text, spans in zip(row["text"], b.column("parts"), strict=True):
-                words = (text.as_py() or "").encode().split()
-                texts.append(b" ".join([w for s in spans.as_py() for w in words[s["from_word"] : s["from_word"] + s["words"]]]).decode())
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else row[c] for c in names], names=names)
+        for whole in batches:
+            text = whole.column("row").field("text")
+            for lo, hi in slices(pc.fill_null(text.cast(pa.binary()), b"")):
+                b = whole.slice(lo, hi - lo)
+                texts, row = [], dict(zip(names, b.column("row").flatten(), strict=True))
+                for t, spans in zip(row["text"], b.column("parts"), strict=True):
+                    words = (t.as_py() or "").encode().split()
+                    texts.append(b" ".join([w for s in spans.as_py() for w in words[s["from_word"] : s["from_word"] + s["words"]]]).decode())
+                new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())}
+                yield pa.RecordBatch.from_arrays([new[c] if c in new else row[c] for c in names], names=names)
 
     # In Python: an array function over the words of a text would split it anew for each span.
     return joined.mapInArrow(cut, T.StructType([T.StructField(f.name, T.LongType()) if f.name == "n_chars" else f for f in docs.schema]))

@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 
 #: Units whose ids a task remembers at most; then it forgets them all.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Longest unit that is remembered, in bytes: longer ones rarely come again.
 KEPT_BYTES = 64
 #: Bytes that are encoded at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
