@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as white space in Unicode.
 SPACE = r"[\t-\r\x1c-\x1f \x85\p{Z}]"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: The same, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+#: What ends a line, besides \n and \r\n.
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85  "
 
 
 def column(c: Column | str) -> Column:
@@ -18,13 +23,14 @@ def column(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(column(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(column(c), F.lit(SPACES))
 
 
 def lines(c: Column | str) -> Column:
     """The lines of a text; a line end at its end begins no further line."""
-    parts = F.split(column(c), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    plain = F.translate(F.replace(column(c), F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+    # The last line end goes before the one split: naming the parts again would make them again.
+    return F.when(column(c) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(plain, r"\n\z", ""), "\n", -1))
 
 
 def first_filled(*cs: Column | str) -> Column:
@@ -70,13 +76,19 @@ def percent(part: Column, whole: Column) -> Column:
     return F.bround(F.try_divide(part * F.lit(100.0), whole), 0).cast("long")
 
 
+@F.pandas_udf(T.StringType())
+def _ascii(texts: pd.Series) -> pd.Series:
+    """What is ASCII of the decomposed text; Spark has no function for that."""
+    return texts.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+
 def slug(c: Column | str, most: int = 40) -> Column:
     """Lower-case ASCII letters and digits joined by hyphens; a text without any becomes person- and a hash.
 
-    Latin letters with marks lose them; other letters are dropped.
+    Letters are decomposed first (NFKD): those with marks lose them, full-width
+    ones, ligatures and other compatible forms become plain; others are dropped.
     """
-    plain = F.translate(F.lower(column(c)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7f]", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    joined = F.regexp_replace(F.regexp_replace(F.lower(_ascii(column(c))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     cut = F.regexp_replace(F.substring(joined, 1, most), "-+$", "")
     return F.when(cut != "", cut).otherwise(F.concat(F.lit("person-"), F.substring(F.sha2(column(c), 256), 1, 8)))
 

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_n(df: DataFrame, by: list[str | Column], order: list[str | Column], n: int | Column) -> DataFrame:
-    """The first n rows of each group; Spark limits each group before the shuffle where n is a number."""
+def first_n(df: DataFrame, by: list[str | Column], order: list[str | Column], n: int | Column, most: int | None = None) -> DataFrame:
+    """The first n rows of each group.
+
+    Spark limits each group before the shuffle where n is a number; where it is
+    a column, ``most`` (never exceeded by it) does that.
+    """
     numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return numbered.where(F.col("_n") <= n).drop("_n")
+    return (numbered if most is None else numbered.where(F.col("_n") <= most)).where(F.col("_n") <= n).drop("_n")
 
 
 def keep_first(df: DataFrame, key: list[str | Column], order: list[str | Column]) -> DataFrame:
@@ -20,6 +24,6 @@ def keep_first(df: DataFrame, key: list[str | Column], order: list[str | Column]
 def container_budget(df: DataFrame, container: str, order: list[str | Column], limit: int, least: int) -> DataFrame:
     """The first rows of each container, max(least, limit div containers) of each; the total may exceed limit."""
     containers = df.select(container).distinct().agg(F.greatest(F.lit(least), F.expr(f"{limit} div greatest(count(*), 1)")).alias("_budget"))
-    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(container).orderBy(*order)))
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(container).orderBy(*order))).where(F.col("_n") <= max(limit, least))
     # The other side is the one row of an aggregate without keys.
     return numbered.join(F.broadcast(containers), F.col("_n") <= F.col("_budget")).drop("_n", "_budget")

@@ -139,7 +139,7 @@ def f7_member_channels(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_size % 2 = 0").orderBy("p_partkey").limit(50).select("p_partkey")
 
 
-@query(r"SELECT doc_id FROM documents WHERE length(regexp_replace(substr(text, 1, 24), '^\s+|\s+$', '', 'g')) >= 20")
+@query(r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20")
 def f8_min_length(spark, sf_dir):
     """Documents of at least 20 characters when stripped."""
     return table(spark, sf_dir, "documents").where(F.length(X.strip("text")) >= 20).select("doc_id")
@@ -220,7 +220,7 @@ SELECT role, bucket, conv_id, turn FROM n WHERE n <= CASE bucket WHEN 'long' THE
 def l1_capped_buckets(spark, sf_dir):
     bucketed = _messages(spark, sf_dir).select("role", F.when(F.length("text") > fixed.CHAT_LONG, "long").otherwise("daily").alias("bucket"), "conv_id", "turn")
     cap = F.when(F.col("bucket") == "long", fixed.CAPS["export"]).otherwise(fixed.CAPS["mail"])
-    return ranking.first_n(bucketed, ["role", "bucket"], ["conv_id", "turn"], cap)
+    return ranking.first_n(bucketed, ["role", "bucket"], ["conv_id", "turn"], cap, most=max(fixed.CAPS["export"], fixed.CAPS["mail"]))
 
 
 @query("""WITH b AS (SELECT greatest(10, 1000 // count(DISTINCT user_id)) AS budget FROM events),

@@ -199,9 +199,9 @@ def m16_template(spark, sf_dir):
 
 
 @query("""SELECT coalesce(o.k, n.k) AS heading, CASE WHEN n.k IS NULL THEN 'kept' WHEN o.k IS NULL THEN 'added' ELSE 'replaced' END AS state
-FROM (SELECT source || lang AS k FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT source || lang AS k FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) n ON o.k = n.k""")
+FROM (SELECT source || lang AS k FROM documents WHERE doc_id % 3 < 2 GROUP BY 1) o FULL JOIN (SELECT source || lang AS k FROM documents WHERE doc_id % 3 > 0 GROUP BY 1) n ON o.k = n.k""")
 def j6_patch_join(spark, sf_dir):
     """What a patch does to each heading."""
-    heads = lambda n, name: _docs(spark, sf_dir).where(F.col("doc_id") % n == 0).select(F.concat("source", "lang").alias(name)).distinct()
-    joined = heads(2, "o").join(heads(3, "n"), F.col("o") == F.col("n"), "full_outer")
+    heads = lambda part, name: _docs(spark, sf_dir).where(part).select(F.concat("source", "lang").alias(name)).distinct()
+    joined = heads("doc_id % 3 < 2", "o").join(heads("doc_id % 3 > 0", "n"), F.col("o") == F.col("n"), "full_outer")
     return joined.select(F.coalesce("o", "n").alias("heading"), F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "added").otherwise("replaced").alias("state"))

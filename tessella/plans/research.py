@@ -99,13 +99,13 @@ def g13_all_checks(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_and(ok).alias("all_passed"), F.count_if(~ok).alias("failed"))
 
 
-@query("""WITH f AS (SELECT event_type, user_id, min(event_id) AS first FROM events WHERE user_id < 5 GROUP BY ALL)
-SELECT event_type, 'seed,' || string_agg(user_id::VARCHAR, ',' ORDER BY first) AS candidates FROM f GROUP BY event_type""")
+@query("""SELECT event_type, user_id::VARCHAR AS candidate, min(event_id) AS first_seen FROM events GROUP BY event_type, user_id
+UNION ALL SELECT DISTINCT event_type, 'seed', -1 FROM events""")
 def g15_candidates(spark, sf_dir):
-    """The seed, and distinct users in the order in which they were first seen."""
-    first = table(spark, sf_dir, "events").where("user_id < 5").groupBy("event_type", "user_id").agg(F.min("event_id").alias("first"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("first", "user_id"))), lambda x: x.user_id.cast("string"))
-    return first.groupBy("event_type").agg(F.array_join(F.concat(F.array(F.lit("seed")), ordered), ",").alias("candidates"))
+    """The seed and all distinct users of each type, with the event in which each was first seen (-1: the seed), which orders them."""
+    events = table(spark, sf_dir, "events")
+    first = events.groupBy("event_type", F.col("user_id").cast("string").alias("candidate")).agg(F.min("event_id").alias("first_seen"))
+    return first.union(events.select("event_type", F.lit("seed"), F.lit(-1).cast("long")).distinct())
 
 
 @query("""WITH f AS (SELECT doc_id, unnest(range(1, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 1 + least(2, doc_id % 4) END)) AS i, source FROM documents UNION ALL
@@ -180,7 +180,7 @@ k AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i
 @query(_LINES + "\nSELECT doc_id, count(*) AS cues FROM k GROUP BY doc_id")
 def m7_consecutive_dedup(spark, sf_dir):
     """Spoken lines without repeats of the line before."""
-    cues = _cues(spark, sf_dir).select("doc_id", S.cue_lines("subtitles").alias("c"))
+    cues = S.spoken_lines(_cues(spark, sf_dir), "doc_id", "subtitles")
     return S.collapsed(cues, "doc_id", "c").select("doc_id", F.size("c").cast("long").alias("cues"))
 
 
@@ -191,7 +191,7 @@ r AS (SELECT doc_id, i, x AS joined, length(x) >= 240 OR regexp_matches(x, '[.!?
 e AS (SELECT *, i = max(i) OVER (PARTITION BY doc_id) AS last FROM r)
 SELECT doc_id, count(*) AS paragraphs, max(length(joined)) AS longest FROM e WHERE whole OR last GROUP BY doc_id""")
 def m8_paragraph_fold(spark, sf_dir):
-    cues = _cues(spark, sf_dir).select("doc_id", S.cue_lines("subtitles").alias("c"))
+    cues = S.spoken_lines(_cues(spark, sf_dir), "doc_id", "subtitles")
     folded = S.collapsed(cues, "doc_id", "c").select("doc_id", S.paragraphs(F.col("c")).alias("p"))
     return folded.select("doc_id", F.size("p").cast("long").alias("paragraphs"), F.array_max(F.transform("p", F.length)).alias("longest"))
 

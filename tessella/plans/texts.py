@@ -19,12 +19,12 @@ def _chat(spark, sf_dir):
     return table(spark, sf_dir, "conversations")
 
 
-@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN '' ELSE role END AS sender, CASE WHEN turn % 4 = 3 THEN '' ELSE substr(text, 1, 40) END AS content FROM conversations""")
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN '' ELSE role END AS sender, CASE WHEN turn % 4 = 3 THEN '' ELSE coalesce(text, '') END AS content FROM conversations""")
 def p1_falsy_coalesce(spark, sf_dir):
     """First filled of several names of a column: null and empty fall through."""
     raw = _chat(spark, sf_dir).select(
         "conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("role")).when(F.col("turn") % 3 == 1, "").alias("sender_name"), F.when(F.col("turn") % 3 == 1, F.col("role")).otherwise("").alias("sender"),
-        F.lit("").alias("content"), F.when(F.col("turn") % 4 != 3, F.substring("text", 1, 40)).alias("message"),
+        F.lit("").alias("content"), F.when(F.col("turn") % 4 != 3, F.col("text")).alias("message"),
     )
     return raw.select("conv_id", "turn", X.first_filled("sender_name", "sender").alias("sender"), X.first_filled("content", "message").alias("content"))
 
@@ -34,7 +34,7 @@ def p2_key_missing(spark, sf_dir):
     """A second key counts only where the first is missing: a null of the first wins."""
     first = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("user_id").alias("like_count"), F.lit(7).alias("likeCount"))))
     made = first.when(F.col("event_id") % 3 == 1, F.lit('{"like_count":null,"likeCount":7}')).otherwise(F.to_json(F.struct((F.col("user_id") + 1).alias("likeCount"))))
-    return table(spark, sf_dir, "events").select("event_id", made.alias("raw")).select("event_id", posts.metric("raw", "like_count", "likeCount").alias("likes"))
+    return table(spark, sf_dir, "events").select("event_id", made.alias("raw")).select("event_id", posts.metric(posts.fields("raw"), "like_count", "likeCount").alias("likes"))
 
 
 @query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN role || ' ' || text ELSE text END AS content FROM conversations""")
@@ -90,9 +90,9 @@ def p7_quote_strip(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2(X.without_quotes(F.concat(F.col("text"), tail)), 256).alias("body"))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)</(p|br|div|tr)\s*>', chr(10), 'g') AS t FROM pages),
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)</(p|br|div|tr)\s*>|<(p|br|div|tr)(\s[^>]*)?/>', chr(10), 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
 SELECT page_id, sha256(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body FROM c""")
 def p8_html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(mail.html_text("html"), 256).alias("body"))

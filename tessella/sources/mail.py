@@ -7,21 +7,27 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import text as X
 
 MAIL = "from string, subject string, date string, body string, body_kind string"
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    """Every character reference decoded, by name or number; Spark has no function for that."""
+    from html import unescape
+
+    return texts.map(unescape, na_action="ignore")
 
 
 def html_text(c: Column | str) -> Column:
-    """Text of HTML: no scripts, styles and comments, a line end where a paragraph, row or block closes."""
+    """Text of HTML: no scripts, styles and comments, a line end where a paragraph, row or block closes (or closes itself), character references decoded."""
     body = F.regexp_replace(X.column(c), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
-    body = F.regexp_replace(body, r"(?i)</(p|br|div|tr)\s*>", "\n")
+    body = F.regexp_replace(body, r"(?i)</(p|br|div|tr)\s*>|<(p|br|div|tr)(\s[^>]*)?/>", "\n")
     body = F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", ""), "<[^>]+>", "")
-    for entity, char in _ENTITIES:
-        body = F.replace(body, F.lit(entity), F.lit(char))
-    return X.strip(F.regexp_replace(body, "\n{3,}", "\n\n"))
+    return X.strip(F.regexp_replace(_unescaped(body), "\n{3,}", "\n\n"))
 
 
 def parse_log(rows: DataFrame, log: str) -> DataFrame:

@@ -30,13 +30,19 @@ def cue_lines(subtitles: Column | str) -> Column:
     return F.filter(F.transform(spoken, bare), lambda x: x != "")
 
 
-def collapsed(rows: DataFrame, key: str, lines: str) -> DataFrame:
-    """key, lines: without those equal to the line before.
-
-    By a window over the exploded lines: array functions that look back at
-    their own array would compute it once for each element.
-    """
-    each = rows.select(key, F.posexplode(lines).alias("_i", "_x"))
+def spoken_lines(rows: DataFrame, key: str, subtitles: str) -> DataFrame:
+    """key, _i, _x: the same lines, a row each, cleaned in generated code."""
+    body = F.regexp_replace(F.regexp_replace(subtitles, r"(?s)^WEBVTT.*?(?:\n\n|\r\n\r\n)", ""), r"(?ms)^NOTE.*?(?:\n\n|\r\n\r\n)", "")
+    each = rows.select(key, body.alias("_body")).select(key, F.posexplode(X.lines("_body")).alias("_i", "_x")).withColumn("_x", X.strip("_x"))
+    kept = each.where((F.col("_x") != "") & ~F.rlike("_x", F.lit("^[0-9]+$")) & ~F.rlike("_x", F.lit(CUE)))
+    tagless = F.when(F.contains("_x", F.lit("<")), F.regexp_replace("_x", "<[^>]+>", "")).otherwise(F.col("_x"))
+    plain = F.when(F.contains("_x", F.lit(":")), F.regexp_replace(tagless, r"\b(?:align|position|size|line):\S+", "")).otherwise(tagless)
+    bare = F.regexp_replace(X.strip(plain), r"\s+", " ")
+    return kept.withColumn("_x", bare).where("_x <> ''")
+
+
+def collapsed(each: DataFrame, key: str, lines: str) -> DataFrame:
+    """key, lines: an array of the lines _x in order of _i, without those equal to the line before."""
     new = F.coalesce(F.lag("_x").over(Window.partitionBy(key).orderBy("_i")) != F.col("_x"), F.lit(True))
     kept = each.withColumn("_new", new).where("_new").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_l"))
     return kept.select(key, F.transform("_l", lambda x: x["_x"]).alias(lines))
@@ -57,5 +63,5 @@ def paragraphs(lines: Column, least: int = 240) -> Column:
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """file, paragraphs of the subtitle files of a folder."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{srt,vtt}")
-    cues = files.select(F.col("_metadata.file_path").alias("file"), cue_lines("value").alias("cues"))
+    cues = spoken_lines(files.select(F.col("_metadata.file_path").alias("file"), "value"), "file", "value")
     return collapsed(cues, "file", "cues").select("file", paragraphs(F.col("cues")).alias("paragraphs"))

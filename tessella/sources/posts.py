@@ -11,10 +11,15 @@ from tessella.functions import urls
 METRICS = {"likes": ("like_count", "likeCount"), "reposts": ("retweet_count", "retweetCount"), "replies": ("reply_count", "replyCount"), "quotes": ("quote_count", "quoteCount"), "views": ("view_count", "viewCount"), "bookmarks": ("bookmark_count", "bookmarkCount")}
 
 
-def metric(raw: str, first: str, second: str) -> Column:
-    """A whole number that isn't negative under the first key, or under the second where the first is missing."""
-    keys = F.json_object_keys(raw)
-    value = F.when(F.array_contains(keys, first), F.get_json_object(raw, f"$.{first}")).otherwise(F.get_json_object(raw, f"$.{second}"))
+def fields(raw: Column | str) -> Column:
+    """The fields of a JSON object as text, parsed once: a null is there, a missing key is not."""
+    return F.from_json(raw, "map<string,string>")
+
+
+def metric(own: Column | str, first: str, second: str) -> Column:
+    """A whole number that isn't negative under the first key of fields, or under the second where the first is missing."""
+    own = F.col(own) if isinstance(own, str) else own
+    value = F.when(F.map_contains_key(own, first), F.try_element_at(own, F.lit(first))).otherwise(F.try_element_at(own, F.lit(second)))
     return F.when(F.rlike(value, F.lit("^[0-9]+$")), value.try_cast("long"))
 
 
@@ -27,15 +32,16 @@ def iso_time(raw: Column) -> Column:
 def normalised(pages: DataFrame, raw: str = "raw") -> DataFrame:
     """id, content, content_truncated, published_at, url, author, metrics (without nulls), trust of the posts of each page; odd ones go."""
     listed = F.coalesce(F.get_json_object(raw, "$.tweets"), F.get_json_object(raw, "$.data.tweets"))
-    each = pages.select(F.explode(F.from_json(listed, "array<string>")).alias("post"))
-    get = lambda path: F.get_json_object("post", f"$.{path}")
+    each = pages.select(F.explode(F.from_json(listed, "array<string>")).alias("post")).select(fields("post").alias("post"))
+    each = each.select("post", fields(F.col("post")["author"]).alias("author"))
+    get = lambda path: F.try_element_at(*((F.col("author"), F.lit(path[7:])) if path.startswith("author.") else (F.col("post"), F.lit(path))))
     metrics = F.map_filter(F.create_map(*(x for name, keys in METRICS.items() for x in (F.lit(name), metric("post", *keys)))), lambda _, v: v.isNotNull())
-    fields = each.select(
+    posts = each.select(
         get("id").alias("id"), X.capped(get("text"), 500).alias("content"), (F.length(get("text")) > 500).alias("content_truncated"), iso_time(F.coalesce(get("createdAt"), get("created"))).alias("published_at"),
         urls.permalink(get("id"), get("author.username"), get("url")).alias("url"), F.struct(get("author.id").alias("id"), X.capped(get("author.name"), 100).alias("name"), get("author.username").alias("username")).alias("author"),
         metrics.alias("metrics"), F.lit("untrusted_public_content").alias("trust"),
     )
-    return fields.where("content <> '' AND url IS NOT NULL")
+    return posts.where("content <> '' AND url IS NOT NULL")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

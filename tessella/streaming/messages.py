@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella import fixed
 from tessella.functions import text as X
+from tessella.operators import ranking
 
 SCHEMA = "id string, sender string, content string, ts timestamp"
 
@@ -15,12 +16,24 @@ def landed(spark: SparkSession, path: str, schema: str = SCHEMA, format_: str =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(format_).load(path)
 
 
-def first_of_each(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The first message of each id; state is kept no longer than ``late``."""
+def first_of_each(messages: DataFrame, late: str) -> DataFrame:
+    """The first message of each id; state is kept no longer than ``late``.
+
+    Of a stream, messages older by more than ``late`` than the newest read
+    before are dropped (late_rows counts them): choose it by how far files can
+    land out of order.  A backlog read as a batch loses nothing.
+    """
+    if not messages.isStreaming:
+        return ranking.keep_first(messages, ["id"], ["ts"])
     return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def bucket_counts(messages: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+def late_rows(query) -> int:
+    """Rows that a query's watermarks have dropped so far, of the progress that Spark still holds."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def bucket_counts(messages: DataFrame, late: str, width: str = "1 hour") -> DataFrame:
     """start, sender, bucket, n: closed windows, once no message can come for them any more."""
     kept = messages.where(~X.is_noise("content")).withColumn("bucket", X.length_bucket("content", fixed.CHAT_LONG, fixed.CHAT_DECISION))
     counted = kept.withWatermark("ts", late).groupBy(F.window("ts", width), "sender", "bucket").agg(F.count("*").alias("n"))
