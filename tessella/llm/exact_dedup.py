@@ -34,6 +34,8 @@ from tessella.llm.common import BLANKS, materialise, parts_of, text_or_empty
 
 #: Bits of the hash by which chains are counted before the directory is laid out; it has 2^20 slots of 20 bytes at most.
 LEAF_BITS = 20
+#: Owner tasks at most; beyond that a task owns several buckets.
+OWNERS = 20_000
 #: A hash with more than one row in so many is hot, so fewer hashes than that are.
 HOT_PART = 1000
 
@@ -101,7 +103,9 @@ def build_index(docs: DataFrame, capacity: int = 20_000) -> tuple[DataFrame, Dat
     # Copies of a hot text collapse in the map tasks, so its owner gets a few rows.
     collapsed = hashed.join(hot, "h", "left_semi").groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     others = hashed.join(hot, "h", "left_anti").select("h", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    owners = _in_bucket(others.unionByName(collapsed), slots, depth).repartition(parts_of(spark), "bucket")
+    buckets = slots.agg(F.countDistinct("bucket")).first()[0]
+    tasks = max(parts_of(spark), min(buckets, OWNERS))  # about a bucket each, so they don't grow with the table
+    owners = _in_bucket(others.unionByName(collapsed), slots, depth).repartition(tasks, "bucket")
     owned = (
         owners.groupBy("bucket", "local_depth", "h", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         .select("bucket", "local_depth", "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
