@@ -20,7 +20,6 @@ ignored elsewhere; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -37,6 +36,9 @@ SEED = 20_240_917
 RUN = 1 << 16
 #: Sources up to which their table (some 60 bytes each) is sent to every task.
 BROADCAST_SOURCES = 100_000
+#: Small tables made by the driver, as Arrow: rows of Python objects would pass through Python workers of their own.
+PLAN = pa.schema([("shard", pa.int32()), ("src", pa.int32()), ("begin", pa.int64()), ("n", pa.int64()), ("blocks", pa.int64())])
+KNOWN = pa.schema([("src", pa.int32()), ("source", pa.string()), ("first", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64())])
 
 
 def targets(sizes: list[int], weights: list[float], share: float, limit: float) -> list[float]:
@@ -103,18 +105,20 @@ def slots(spark, sources: list[dict], shards: int = SHARDS, seed: int = SEED) ->
     """shard, src, block: one row for each slot of the mixture."""
     counts = draw_counts([s["slots"] for s in sources], shards, seed)
     begin = counts.cumsum(axis=0) - counts
-    plan = [(k, s["src"], int(begin[k, i]), int(counts[k, i]), s["blocks"]) for k in range(shards) for i, s in enumerate(sources) if counts[k, i]]
-    plan = spark.createDataFrame(plan, "shard int, src int, begin long, n long, blocks long")
+    plan = [{"shard": k, "src": s["src"], "begin": int(begin[k, i]), "n": int(counts[k, i]), "blocks": s["blocks"]} for k in range(shards) for i, s in enumerate(sources) if counts[k, i]]
+    plan = spark.createDataFrame(pa.Table.from_pylist(plan, PLAN))
 
-    @F.pandas_udf("long")
-    def place(src: pd.Series, slot: pd.Series, blocks: pd.Series) -> pd.Series:
-        turn, b = slot.to_numpy() // blocks.to_numpy(), blocks.to_numpy()
-        key = (np.uint64(seed) * np.uint64(1_000_003)) ^ (src.to_numpy().astype(np.uint64) << np.uint64(20)) ^ turn.astype(np.uint64)
-        return pd.Series(permuted(slot.to_numpy() % b, b, key))
+    def place(batches):
+        for b in batches:
+            src, slot, blocks = (b.column(c).to_numpy() for c in ("src", "slot", "blocks"))
+            key = (np.uint64(seed) * np.uint64(1_000_003)) ^ (src.astype(np.uint64) << np.uint64(20)) ^ (slot // blocks).astype(np.uint64)
+            block = pa.array(permuted(slot % blocks, blocks, key), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("src"), b.column("slot"), block], names=["shard", "src", "slot", "block"])
 
     runs = plan.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})"))).repartition(parts_of(spark), "shard", "src", "run")
     each = runs.select("shard", "src", "blocks", F.explode(F.expr(f"sequence(begin + run * {RUN}, begin + least(n, (run + 1) * {RUN}) - 1)")).alias("slot"))
-    return each.select("shard", "src", "slot", place("src", "slot", "blocks").alias("block"))
+    # Not a UDF: filters on block, which joins infer, would evaluate it once more in a second Python worker of each task.
+    return each.mapInArrow(place, "shard int, src int, slot long, block long")
 
 
 def block_uses(docs: DataFrame, *key: str, weights=(3, 1, 2), share=1.5, limit=2, block=BLOCK, shards=SHARDS, seed=SEED) -> DataFrame:
@@ -126,7 +130,7 @@ def block_uses(docs: DataFrame, *key: str, weights=(3, 1, 2), share=1.5, limit=2
     """
     spark, streams = docs.sparkSession, _streams(docs, *key)
     sources = _sources(streams, list(weights), share, limit, block)
-    known = spark.createDataFrame([(s["src"], s["source"], s["first"], s["source_size"], s["target"]) for s in sources], "src int, source string, first long, source_size long, target double")
+    known = spark.createDataFrame(pa.Table.from_pylist([{c: s[c] for c in KNOWN.names} for s in sources], KNOWN))
     taken = slots(spark, sources, shards, seed).groupBy("src", "block").agg(F.count("*").alias("uses"))
     placed = streams.join(F.broadcast(known) if len(sources) <= BROADCAST_SOURCES else known, streams.source.eqNullSafe(known.source)).drop(known.source).withColumn("start", F.col("all_before") - F.col("first"))
     cut = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))))
