@@ -45,25 +45,32 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     Only results that have been written elsewhere may be used afterwards.
     Without it intermediates stay until the shared folder is cleared.
     """
-    from pyarrow import fs
-
     folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
     before = _SCRATCH.set(folder)
     try:
         yield folder
     finally:
         _SCRATCH.reset(before)
-        store, path = fs.FileSystem.from_uri(folder)
-        if store.get_file_info(path).type != fs.FileType.NotFound:
-            store.delete_dir(path)
+        remove(spark, folder)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there, in whatever store Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once to the shared folder and read back, and its folder there, for remove()."""
     spark = df.sparkSession
     path = f"{_SCRATCH.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    return stored(df, name)[0]
 
 
 def text_or_empty(column: str = "text") -> Column:

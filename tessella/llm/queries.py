@@ -1,11 +1,13 @@
-"""One thin query per operator over the whole ``documents`` table."""
+"""One thin query per operator over the whole ``documents`` or ``embeddings`` table."""
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, exact_dedup, id_store, lattice, mixing, quality, sharding, simhash, sketch, substring
+from tessella.llm import byte_bpe, centroids, descent, exact_dedup, id_store, lattice, mixing, quality, sharding, simhash, sketch, substring, vector_codes
 from tessella.llm.common import documents
+from tessella.llm.vectors import embeddings
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,5 +55,17 @@ def op10_quality(spark, sf_dir):
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice, op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op6_id_store, op7_byte_bpe, op8_simhash, op9_substring, op10_quality)}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op9_substring": substring.ORACLE}
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.digests(*vector_codes.trained(embeddings(spark, sf_dir)))
+
+
+def op12_centroids(spark, sf_dir):
+    return centroids.clusters(embeddings(spark, sf_dir))
+
+
+def op13_descent(spark, sf_dir):
+    return descent.nearest(embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice, op2_exact_dedup, op3_mixing, op4_sharding, op5_sketch, op6_id_store, op7_byte_bpe, op8_simhash, op9_substring, op10_quality, op11_vector_codes, op12_centroids, op13_descent)}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op9_substring": substring.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_centroids": centroids.ORACLE}
