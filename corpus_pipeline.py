@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import byte_bpe, exact_dedup, mixing, quality, simhash
-from tessella.llm.common import documents, scratch, shared_dir
+from tessella.llm.common import documents, remove, scratch, shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints, that with the smallest doc_id.
 
     Texts without a word have fingerprint zero and link like any other; of
-    several rows of that doc_id the one with the smallest hash stays; a group of
-    null doc_ids keeps all its rows.
+    several rows of that doc_id the one with the smallest hash stays, as in a
+    group of null doc_ids.
     """
     return simhash.drop_near_copies(docs)
 
@@ -81,11 +81,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what stages write for themselves goes when they have ended."""
-    docs = documents(spark, sf_dir)
+    """The last stage's rows; what stages write for themselves goes when they have ended, their rows when the next stage has."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

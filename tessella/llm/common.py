@@ -85,9 +85,11 @@ def with_identity(df: DataFrame) -> DataFrame:
     """row (all columns of df in one), no_id and id (of its doc_id) and row_hash: rows with the same IDENTITY are equal.
 
     As the columns are inside row, none of their names can clash.  Nulls are
-    marked in the hash, which would pass over them.
+    marked in the hash, which would pass over them.  Maps and variants, also
+    inside other types, can't be hashed and count by their JSON.
     """
-    each = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    hashed = lambda c, kind: F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`")
+    each = [x for c, kind in df.dtypes for x in (hashed(c, kind), F.col(f"`{c}`").isNull())]
     return df.select(
         F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("doc_id").isNull().alias("no_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(*each).alias("row_hash"),

@@ -191,13 +191,17 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on the labelled rows that aren't held out, at most ``sample`` of them by hash of doc_id."""
+    """Fits on the labelled rows that aren't held out, at most ``sample`` of them by hash of doc_id.
+
+    Also where a labelled doc_id stands in many rows no more than ``sample`` rows are fitted.
+    """
     known = labels.where(~held_out()).where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
-    # No more rows than the sample: safe to send to every task, and back to the driver as features.
+    # No more rows than the sample: safe to send to every task; what they find may be more, and is cut as features.
     texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
     rows = texts.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select(F.col("_id").cast("long").alias("_id"), "y", "text")
-    fitted = sorted(_features(rows).collect(), key=lambda r: (r["_id"], r.y, r.x))
+    bounded = _features(rows).orderBy(F.xxhash64("_id"), "_id", "y", "x").limit(sample)
+    fitted = sorted(bounded.collect(), key=lambda r: (r["_id"], r.y, r.x))
     return fit(np.array([r.x for r in fitted], dtype=float).reshape(len(fitted), len(FEATURES)), np.array([r.y for r in fitted], dtype=float))
 
 

@@ -144,16 +144,15 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each group, with all their columns.
 
     A group keeps one row with its smallest doc_id, that with the smallest hash
-    where several rows have it; a group of null doc_ids keeps all its rows.
+    where several rows have it, as in a group of null doc_ids.
     """
     rows = with_identity(docs)
     grouped = _grouped(rows.select("row.doc_id", "row.text", "row_hash"), "row_hash")
-    alone = F.when(F.col("doc_id").isNull(), F.col("row_hash"))
-    heads = grouped.where("doc_id <=> component_id").groupBy("root", "doc_id", alone.alias("alone")).agg(F.min("row_hash").alias("row_hash"))
+    heads = grouped.where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("row_hash").alias("row_hash"))
     stay = heads.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row_hash")
     # The window finds its rows where the join has put them, so texts are shuffled once.
     copy = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.lit(0)))
-    return rows.join(stay, IDENTITY, "left_semi").withColumn("copy", copy).where("copy = 1 OR no_id").select("row.*")
+    return rows.join(stay, IDENTITY, "left_semi").withColumn("copy", copy).where("copy = 1").select("row.*")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

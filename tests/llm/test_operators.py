@@ -335,7 +335,7 @@ def test_drop_near_copies_of_repeated_ids(spark):
     one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
     rows = [(7, one, "en", "a"), (7, one, "en", "a"), (7, two, "en", "a"), (7, two + "  ", "de", "a"), (3, two, "en", "a"), (9, one, "en", "b"), (8, "stands alone here", "en", "a"), (None, "has no id", "en", "a"), (None, "has no id", "en", "a"), (None, one, "en", "a")]
     kept = simhash.drop_near_copies(frame(spark, rows))
-    assert ordered((r.doc_id, r.text) for r in kept.collect()) == ordered([(7, one), (3, two), (8, "stands alone here"), (None, "has no id"), (None, "has no id")])
+    assert ordered((r.doc_id, r.text) for r in kept.collect()) == ordered([(7, one), (3, two), (8, "stands alone here"), (None, "has no id")])
     assert kept.columns == frame(spark, rows).columns
 
 
@@ -506,6 +506,30 @@ def test_quality_without_labels(spark, odd):
     assert len({r.score for r in quality.scored(odd, odd_labels).collect()}) == 1
 
 
+def test_training_rows_are_bounded(spark):
+    """One labelled doc_id that stands in 50,001 rows: no more rows than the sample are fitted, whatever their order."""
+    docs = spark.range(50_001).selectExpr("7 AS doc_id", "concat('text number ', id % 1000) AS text").union(spark.createDataFrame([(i, f"other {i}") for i in range(50)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    fitted = []
+    fit = quality.fit
+    quality.fit = lambda x, y: fitted.append((x, y)) or fit(x, y)
+    try:
+        quality.train(docs, labels, sample=100)
+        quality.train(docs.repartition(5), labels, sample=100)
+    finally:
+        quality.fit = fit
+    assert [len(y) for _, y in fitted] == [100, 100] and (fitted[0][0] == fitted[1][0]).all()
+
+
+def test_columns_that_cannot_be_hashed(spark):
+    """Maps and variants, also inside other types, in the stages that tell rows apart by all their columns."""
+    docs = spark.sql("""SELECT id AS doc_id, if(id < 3, 'a text that stands here three times over again', concat('text ', id, ' alone')) AS text, 'en' AS lang, 's' AS source, 0L AS n_chars,
+      map('k', id) AS m, parse_json(concat('{"a":', id, '}')) AS v, array(named_struct('deep', map(1, 'x'))) AS nested, if(id = 4, null, map()) AS none FROM range(6)""")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [0, 3, 4, 5]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {r.m["k"] == r.doc_id for r in mixed.collect()} == {True}
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for found in (
