@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella import fixed
+from tessella import fixed, steps
 from tessella.functions import text as X
 from tessella.operators import ranking
 from tessella.operators import sections as M
 from tessella.operators import versions as V
 from tessella.plans import query
 from tessella.session import table
+from tessella.sources import sinks
 
 
 def _docs(spark, sf_dir):
@@ -75,6 +77,32 @@ def m6_rollback(spark, sf_dir):
     return V.current(after.select("user_id", "version_id", "label", "rollback_from", "event_type"), "user_id").where("rollback_from IS NOT NULL")
 
 
+@query("""WITH n AS (SELECT user_id, event_type AS artifact, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v, count(*) OVER (PARTITION BY user_id) AS last FROM events),
+s AS (SELECT user_id, artifact, last, max_by(event_id, v) AS now, max_by(event_id, v) FILTER (v <= 3 + user_id % 4) AS was FROM n WHERE 3 + user_id % 4 <= last GROUP BY ALL)
+SELECT user_id, 'v' || last || '_before_rollback' AS label, artifact, now AS event_id, NULL AS rollback_from FROM s
+UNION ALL SELECT user_id, 'v' || (3 + user_id % 4) || '_restored', artifact, coalesce(was, now), 'v' || last FROM s""")
+def m6_rollback_archive(spark, sf_dir):
+    """Artifacts of every user rolled back to an early version, which has only some of them, and the archive of what was current."""
+    log = _log(spark, sf_dir).select("user_id", "version_id", F.col("event_type").alias("artifact"), F.col("event_id").alias("content"))
+    targets = table(spark, sf_dir, "events").select("user_id", (F.col("user_id") % 4 + 3).alias("target")).distinct()
+    return V.restored(log, targets, "user_id").withColumnRenamed("content", "event_id")
+
+
+@query("""SELECT user_id, count(*) AS events, max(event_id) AS newest FROM events WHERE event_type <> 'error' GROUP BY user_id""")
+def b3_collection(spark, sf_dir):
+    """A collection written, replaced by force, kept through a replacement that is broken off, and read."""
+    path = steps.new_folder(spark, "collection")
+    counted = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("events"), F.max("event_id").alias("newest"))
+    sinks.write_collection(counted, path)
+    fine = table(spark, sf_dir, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.count("*").alias("events"), F.max("event_id").alias("newest"))
+    sinks.write_collection(fine, path, force=True)
+    try:
+        sinks.write_collection(counted.withColumn("events", F.when(F.col("user_id") > 5, F.raise_error(F.lit("broken off")).cast("long")).otherwise(0)), path, force=True)
+    except PySparkException:
+        pass
+    return sinks.read_collection(spark, path, "user_id long, events long, newest long")
+
+
 @query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n > 10""")
 def l8_retention(spark, sf_dir):
     """Versions to delete: all but the newest ten."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import ranking
+from tessella import steps
+from tessella.operators import directory, ranking
 from tessella.plans import query
 from tessella.session import table
 from tessella.sources import mail
@@ -19,26 +20,56 @@ def _tree(spark, sf_dir):
     top = region.select(edge(F.lit("root"), name("r", "r_regionkey")).alias("e"))
     middle = nation.select(edge(name("r", "n_regionkey"), name("n", "n_nationkey")).alias("e"))
     low = table(spark, sf_dir, "customer").select(edge(name("n", "c_nationkey"), name("c", "c_custkey")).alias("e"))
-    return top.union(middle).union(low).select("e.*")
+    return top.union(middle).union(low).select("e.*", F.lit(0).cast("long").alias("ord"))
 
 
 _TREE = """t AS (SELECT 'root' AS parent, 'r' || r_regionkey AS child FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"""
 
 
-def _walk(spark, sf_dir, deepest):
-    _tree(spark, sf_dir).createOrReplaceTempView("tessella_tree")
-    return spark.sql(f"""WITH RECURSIVE w(node, depth) AS (SELECT 'root', 0 UNION ALL SELECT t.child, w.depth + 1 FROM w JOIN tessella_tree t ON t.parent = w.node WHERE w.depth < {deepest}) SELECT node, depth FROM w""")
-
-
 @query(f"WITH RECURSIVE {_TREE}, w AS (SELECT 'root' AS node, 0 AS depth UNION ALL SELECT t.child, w.depth + 1 FROM w JOIN t ON t.parent = w.node WHERE w.depth < 10) SELECT node, depth FROM w")
 def a12_directory_walk(spark, sf_dir):
     """Breadth-first walk of the directory; each level is one join."""
-    return _walk(spark, sf_dir, 10)
+    return directory.walk(_tree(spark, sf_dir), "root").select("node", "depth")
 
 
 @query(f"WITH RECURSIVE {_TREE}, w AS (SELECT 'root' AS node, 0 AS depth UNION ALL SELECT t.child, w.depth + 1 FROM w JOIN t ON t.parent = w.node WHERE w.depth < 2) SELECT node, depth FROM w")
 def a13_bounded_walk(spark, sf_dir):
-    return _walk(spark, sf_dir, 2)
+    return directory.walk(_tree(spark, sf_dir), "root", 2).select("node", "depth")
+
+
+_BELOW = """e AS (SELECT c_custkey // 2 AS parent, c_custkey AS child FROM customer WHERE c_custkey > 0 UNION ALL SELECT c_custkey, c_custkey // 4 FROM customer WHERE c_custkey % 7 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {_BELOW}, w(node) AS (SELECT 0::BIGINT UNION SELECT e.child FROM w JOIN e ON e.parent = w.node),
+h AS (SELECT o_custkey AS department, o_orderkey AS user_id FROM orders JOIN w ON w.node = o_custkey WHERE contains('c' || o_orderkey, '77') OR contains(o_orderpriority || o_custkey, '77')),
+d AS (SELECT department, sum(n) OVER (ORDER BY department) - n AS before FROM (SELECT department, count(*) AS n FROM h GROUP BY department))
+SELECT department, CASE WHEN department = 0 THEN 0 ELSE length(bin(department)) END AS depth, user_id FROM h JOIN d USING (department) WHERE before < 10""")
+def a12_directory_search(spark, sf_dir):
+    """The first ten and more users by either name, department by department, in a directory with cycles that is over ten levels deep."""
+    key = F.col("c_custkey").cast("long")
+    customers = table(spark, sf_dir, "customer")
+    down = customers.where("c_custkey > 0").select(F.expr("c_custkey div 2").alias("parent"), key.alias("child"), key.alias("ord"))
+    back = customers.where("c_custkey % 7 = 0").select(key.alias("parent"), F.expr("c_custkey div 4").alias("child"), F.lit(-1).cast("long").alias("ord"))
+    users = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("long").alias("department"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("user_id"),
+        F.concat(F.lit("c"), "o_orderkey").alias("name"), F.concat("o_orderpriority", "o_custkey").alias("en_name"),
+    )
+    found = directory.search(down.union(back), users, 0, directory.named("77", "name", "en_name"), enough=10)
+    return found.select("department", "depth", "user_id")
+
+
+@query("""SELECT department, depth, c_custkey AS user_id FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY c_custkey) AS n FROM (
+  SELECT 'n' || c_nationkey AS department, 2 AS depth, c_custkey, c_name FROM customer UNION ALL SELECT 'n' || c_nationkey || c_mktsegment, 3, c_custkey, c_name FROM customer))
+WHERE n <= 100 AND contains(c_name, '7')""")
+def a13_bounded_search(spark, sf_dir):
+    """Users by name down to the third level, of each department the first hundred that it lists; the fourth level isn't read."""
+    customers = table(spark, sf_dir, "customer")
+    nation, segment = F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("n"), "c_nationkey", "c_mktsegment")
+    below = customers.select(nation.alias("parent"), segment.alias("child")).union(customers.select(segment, F.concat(F.lit("last"), segment))).distinct()
+    edges = _tree(spark, sf_dir).where("child NOT LIKE 'c%'").union(below.withColumn("ord", F.lit(0).cast("long")))
+    listed = lambda department: customers.select(department.alias("department"), F.col("c_custkey").alias("ord"), F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    users = listed(nation).union(listed(segment)).union(listed(F.concat(F.lit("last"), segment)))
+    return directory.search(edges, users, "root", directory.named("7", "name"), deepest=3, page=100).select("department", "depth", "user_id")
 
 
 @query("""SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events) WHERE event_type <> 'error' OR n < 150""")
@@ -176,6 +207,19 @@ def a3_mailbox(spark, sf_dir):
     return found.select(F.col("path").cast("long").alias("conv_id"), F.substring("subject", 6, 9).cast("long").alias("turn"), F.col("from").alias("sender"), "subject")
 
 
+@query(r"""SELECT conv_id, turn, role || '@example.com' AS sender, md5(trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' ')) AS body FROM conversations WHERE trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' ') <> ''""")
+def a3_mailbox_files(spark, sf_dir):
+    """Mailboxes of many mails, landed as files that tasks read block by block, cut and parsed."""
+    body = F.btrim(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), F.lit(" "))
+    mail_ = F.concat(F.lit("From x\nFrom: "), F.col("role"), F.lit("@example.com\nSubject: "), F.col("conv_id"), F.lit(" "), F.col("turn"), F.lit("\n\n"), body, F.lit("\n"))
+    folder = steps.new_folder(spark, "mailboxes")
+    boxes = table(spark, sf_dir, "conversations").select(mail_.alias("value"))
+    boxes.write.text(folder)
+    found = mail.read_mbox(spark, folder, pattern="*.txt")
+    ids = F.split("subject", " ")
+    return found.select(ids[0].cast("long").alias("conv_id"), ids[1].cast("long").alias("turn"), F.col("from").alias("sender"), F.md5("body").alias("body"))
+
+
 @query("""SELECT doc_id, 'creator' AS via FROM documents WHERE source = 'src7' UNION ALL SELECT doc_id, 'keyword' FROM documents WHERE contains(text, 'idiot') AND NOT EXISTS (SELECT 1 FROM documents WHERE source = 'nobody')""")
 def a15_creator_or_keyword(spark, sf_dir):
     """Documents of a creator, and by keyword where a search by creator (nobody) fails."""

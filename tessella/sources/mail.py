@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella import steps
 from tessella.functions import text as X
 
 MAIL = "from string, subject string, date string, body string, body_kind string"
@@ -88,18 +92,80 @@ def read_eml(spark: SparkSession, path: str, target: str = "") -> DataFrame:
 
 
 def split_mailbox(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mails of whole mailboxes, cut at lines that begin with ``From `` after a blank line."""
+    """Mails of whole mailboxes, cut at lines that begin with ``From ``."""
     import re
 
     for chunk in chunks:
-        out = [(path, i, part) for path, content in zip(chunk["path"], chunk["content"], strict=True) for i, part in enumerate(re.split(rb"(?:\A|(?<=\n\n))From [^\n]*\n", content)) if part.strip()]
+        out = [(path, i, part) for path, content in zip(chunk["path"], chunk["content"], strict=True) for i, part in enumerate(re.split(rb"(?m)^From [^\n]*\n?", content)[1:])]
         yield pd.DataFrame(out, columns=["path", "seq", "raw"])
 
 
-def read_mbox(spark: SparkSession, path: str, target: str = "") -> DataFrame:
-    """Mails of a folder of .mbox files; a task reads a file whole."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mbox").load(path).select("path", "content")
-    return parsed(files.mapInPandas(split_mailbox, "path string, seq long, raw binary"), "raw", target)
+_PIECE = "path string, block long, n int, begun boolean, last boolean, raw binary"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands between two ``From `` lines of a block; n counts a block's pieces, the first of which no such line begins."""
+    names = [f.split()[0] for f in _PIECE.split(", ")]
+    where, n, begun, held = None, 0, False, []
+
+    def piece(last: bool) -> tuple:
+        return (*where, n, begun, last, b"".join(held))
+
+    for batch in batches:
+        lines, done = batch["line"], []
+        if not len(lines):
+            continue
+        marks = pc.starts_with(lines, pattern=b"From ").to_numpy(zero_copy_only=False)
+        place = list(zip(batch["path"].to_pylist(), batch["block"].to_pylist(), strict=True))
+        turns = [i for i in range(len(place)) if i == 0 or place[i] != place[i - 1]]
+        ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+        bytes_ = lines.buffers()[2]
+        cuts = sorted({*turns, *np.flatnonzero(marks).tolist()})
+        for at, end in zip(cuts, [*cuts[1:], len(lines)], strict=True):
+            if place[at] != where:
+                if where:
+                    done.append(piece(True))
+                where, n, begun, held = place[at], 0, False, []
+            if marks[at]:
+                done.append(piece(False))
+                n, begun, held, at = n + 1, True, [], at + 1
+            held.append(bytes_[int(ends[at]) : int(ends[end])].to_pybytes())
+        yield pa.RecordBatch.from_pylist([dict(zip(names, d, strict=True)) for d in done], schema=_PIECES)
+    if where:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, piece(True), strict=True))], schema=_PIECES)
+
+
+_PIECES = pa.schema([("path", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("begun", pa.bool_()), ("last", pa.bool_()), ("raw", pa.binary())])
+
+
+def mailbox_mails(spark: SparkSession, path: str, pattern: str = "*.mbox") -> DataFrame:
+    """path, seq (from 0 in each file), raw of the mails in the files of a folder that fit a pattern, each file read by many tasks.
+
+    Spark cuts files at byte offsets and gives a task the lines that begin in its
+    block.  A task cuts them at lines that begin with ``From ``; what a block has
+    before its first such line belongs to the last mail that began before, maybe
+    several blocks ago, and only these ends of blocks are shuffled.  What a file
+    has before its first ``From `` is no mail.  Bytes are kept as they are.
+    """
+    lines = spark.read.text(path, lineSep="\n", pathGlobFilter=pattern)
+    line = F.concat(F.col("value").cast("binary"), F.lit(b"\n"))
+    pieces = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), line.alias("line")).mapInArrow(_pieces, _PIECE)
+    pieces = steps.written(pieces, steps.new_folder(spark, "pieces"))
+    before = Window.partitionBy("path").orderBy("block")
+    begun = pieces.groupBy("path", "block").agg(F.count_if("begun").alias("mails"))
+    first = begun.select("path", "block", (F.sum("mails").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("mails")).alias("first"))
+    placed = pieces.join(first, ["path", "block"]).withColumn("seq", F.col("first") + F.col("n") - 1)
+    whole = placed.where("begun AND NOT last").select("path", "seq", "raw")
+    # A block's first piece goes on with the mail numbered before it: n is 0 there.
+    ends = placed.where("NOT begun OR last").where("seq >= 0").groupBy("path", "seq")
+    joined = ends.agg(F.sort_array(F.collect_list(F.struct("block", "n", F.col("raw").cast("string").alias("part")))).alias("parts"))
+    # Strings carry any bytes here: nothing looks at their characters.
+    return whole.unionByName(joined.select("path", "seq", F.array_join(F.transform("parts", lambda p: p["part"]), "").cast("binary").alias("raw")))
+
+
+def read_mbox(spark: SparkSession, path: str, target: str = "", pattern: str = "*.mbox") -> DataFrame:
+    """Mails of a folder of .mbox files, with path and seq; a file of any size is read by many tasks."""
+    return parsed(mailbox_mails(spark, path, pattern), "raw", target)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
