@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella import fixed
+
 #: What counts as white space in Unicode.
 SPACE = r"[\t-\r\x1c-\x1f \x85\p{Z}]"
 #: The same, one by one.
@@ -61,9 +63,9 @@ def is_noise(c: Column | str) -> Column:
 
 def without_quotes(c: Column | str) -> Column:
     """A mail body without quoted lines, forwards and what follows a long rule; a quote in the first line stays."""
-    body = F.regexp_replace(column(c), "\n>.*", "")
-    body = F.regexp_replace(body, "(?s)\n-{3,}.*?原始邮件.*?\n", "\n")
-    return strip(F.regexp_replace(body, "(?s)\n_{3,}\n.*", ""))
+    body = F.regexp_replace(column(c), fixed.QUOTED_LINE, "")
+    body = F.regexp_replace(body, f"(?s){fixed.QUOTED_FORWARD}", "\n")
+    return strip(F.regexp_replace(body, f"(?s){fixed.QUOTED_REST}", ""))
 
 
 def copyright_safe(c: Column | str) -> Column:
@@ -97,3 +99,22 @@ def clock(seconds: Column | str) -> Column:
     """HH:MM:SS of a number of seconds."""
     s = column(seconds).cast("long")
     return F.format_string("%02d:%02d:%02d", (s / 3600).cast("long"), F.pmod((s / 60).cast("long"), F.lit(60)), F.pmod(s, F.lit(60)))
+
+
+def name_score(name: str, real: Column, display: Column, user: Column) -> Column:
+    """How well a member's names fit one, whatever the case: 3 one is it, 2 one holds it, 1 real and display name together hold its letters, else 0."""
+    probe = F.lower(F.lit(name))
+    names = [F.coalesce(F.lower(n), F.lit("")) for n in (real, display, user)]
+    letters = F.filter(F.split(probe, ""), lambda ch: strip(ch) != "")
+    exact, part = (reduce(lambda a, b: a | b, (test(n) for n in names)) for test in (lambda n: n == probe, lambda n: F.contains(n, probe)))
+    return F.when(exact, 3).when(part, 2).when(F.forall(letters, lambda ch: F.contains(names[0], ch) | F.contains(names[1], ch)), 1).otherwise(0)
+
+
+#: An emoji as readers see one: a flag, a keycap, or pictures with their variants, skin tones and tags, joined or not.
+_PICTURE = r"[\x{1F300}-\x{1F3FA}\x{1F400}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{2300}-\x{23FF}](?:\x{FE0F}|[\x{1F3FB}-\x{1F3FF}])?(?:[\x{E0020}-\x{E007E}]+\x{E007F})?"
+EMOJI = rf"[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[0-9#*]\x{{FE0F}}?\x{{20E3}}|{_PICTURE}(?:\x{{200D}}{_PICTURE})*"
+
+
+def emoji_count(c: Column | str) -> Column:
+    """Emoji in a text, a sequence of code points that shows as one counting once."""
+    return F.regexp_count(column(c), F.lit(EMOJI))

@@ -10,8 +10,6 @@ from tessella.functions import text as X
 from tessella.functions import urls
 
 TRACKS = [f"{i:02d}" for i in range(1, 7)]
-URL = r"https?://[^\s)]+"
-DRAFT_URL = r"https?://[^\s)>\]]+"
 PRIMARY = r"primary source|official statement|original interview"
 
 
@@ -47,7 +45,7 @@ def findings(lines: DataFrame) -> DataFrame:
 
 def weights(text: Column | str) -> Column:
     """First digits of all source weights of a text that are 1 to 7."""
-    found = F.regexp_extract_all(X.column(text), F.lit(r"(?i)source weight:\s*(\d)"), F.lit(1))
+    found = F.regexp_extract_all(X.column(text), F.lit(f"(?i){fixed.SOURCE_WEIGHT}"), F.lit(1))
     return F.filter(found, lambda w: w.between("1", "7"))
 
 
@@ -56,24 +54,19 @@ def long_quote(line: Column | str) -> Column:
     line = X.column(line)
     words = F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
     marks = F.rlike(line, F.lit("[\"“”']"))
-    return F.startswith(line, F.lit(">")) | F.rlike(line, F.lit(r"\b\d{2}:\d{2}:\d{2}(?:[.,]\d{1,3})?\b")) | (marks & (words > 25))
+    return F.startswith(line, F.lit(">")) | F.rlike(line, F.lit(fixed.NOTE_CLOCK)) | (marks & (words > 25))
 
 
 def tier_ratio(high: Column, total: Column) -> Column:
     return X.percent(high, total)
 
 
-_CHECKS = {
-    "mental_models": "mental model|心智模型", "limitations": "limitations|boundary|局限|边界", "expression_dna": "expression dna|表达 dna|sentence rhythm|metaphor",
-    "honest_boundaries": "honest boundar|诚实边界|what .* does not know", "internal_tension": "contradiction|tension|矛盾|张力",
-}
-_STRICT = {"intellectual_genealogy": "intellectual genealogy|influenced by|智识谱系|influenced:", "agentic_protocol": "agentic protocol|research dimensions|step 1.*classify|分析协议"}
 _DEPTH = {"files_scanned": 6, "unique_urls": 8, "primary_markers": 3, "metadata_blocks": 6, "contradictions": 6, "inferences": 6, "tracks": 6}
 
 
 def draft_counts(text: Column | str) -> tuple[Column, Column]:
     """Bullets, and distinct grounded addresses, of a draft."""
-    found = F.transform(F.regexp_extract_all(X.column(text), F.lit(DRAFT_URL), F.lit(0)), lambda u: F.regexp_replace(u, "[.,]+$", ""))
+    found = F.transform(F.regexp_extract_all(X.column(text), F.lit(fixed.DRAFT_URL), F.lit(0)), lambda u: F.regexp_replace(u, "[.,]+$", ""))
     return F.regexp_count(X.column(text), F.lit(r"(?m)^\s*[-*]\s+")), F.size(F.array_distinct(F.filter(found, urls.is_grounded)))
 
 
@@ -86,10 +79,10 @@ def quality_gate(drafts: DataFrame, strict: bool, text: str = "text") -> DataFra
     the strict one asks for.
     """
     bullets, grounded = draft_counts(text)
-    said = lambda p: F.rlike(F.lower(text), F.lit(p))
-    checks = {name: said(p) for name, p in _CHECKS.items()}
+    said = lambda p: F.rlike(text, F.lit(f"(?iu){p}"))
+    checks = {name: said(p) for name, p in fixed.DRAFT_CHECKS.items()}
     checks["mental_models"] = checks["mental_models"] & (bullets >= 3)
-    asked = {name: said(p) for name, p in _STRICT.items()}
+    asked = {name: said(p) for name, p in fixed.STRICT_CHECKS.items()}
     asked["source_hierarchy"] = (F.col("primary_ratio") >= 50) | (F.col("high_tier") >= 3)
     asked["review_chain"] = F.forall("reviews", lambda r: r)
     asked["validation_depth"] = (F.col("questions") >= 2) & (F.col("edge_cases") >= 1)

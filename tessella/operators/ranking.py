@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,3 +29,37 @@ def container_budget(df: DataFrame, container: str, order: list[str | Column], l
     numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(container).orderBy(*order))).where(F.col("_n") <= max(limit, least))
     # The other side is the one row of an aggregate without keys.
     return numbered.join(F.broadcast(containers), F.col("_n") <= F.col("_budget")).drop("_n", "_budget")
+
+
+def priority_budget(df: DataFrame, container: str, first: Column, order: list[str | Column], limit: int, least: int) -> DataFrame:
+    """Rows under one budget that containers use up by rank.
+
+    Rows of ``first`` come first, up to ``limit`` in order, whatever their
+    container.  What is left is shared by the other containers, max(least, left
+    div containers) for each, and none of it where nothing is left; ``least`` may
+    bring the total over the limit.
+    """
+    marked = df.withColumn("_first", F.coalesce(first, F.lit(False)))
+    own = first_n(marked.where("_first"), ["_first"], order, limit)
+    rest = marked.where("NOT _first")
+    # One row: what the first ones take, and how many containers share the remainder.
+    shared = marked.agg(F.least(F.count_if("_first"), F.lit(limit)).alias("_taken"), F.countDistinct(F.when(~F.col("_first"), F.col(container))).alias("_containers"))
+    left = F.lit(limit) - F.col("_taken")
+    budget = shared.select(F.when(left > 0, F.greatest(F.lit(least), F.expr(f"({limit} - _taken) div greatest(_containers, 1)"))).otherwise(0).alias("_budget"))
+    numbered = rest.withColumn("_n", F.row_number().over(Window.partitionBy(container).orderBy(*order))).where(F.col("_n") <= max(limit, least))
+    return own.drop("_first").unionByName(numbered.join(F.broadcast(budget), F.col("_n") <= F.col("_budget")).drop("_n", "_budget", "_first"))
+
+
+def in_file_order(df: DataFrame, name: str = "seq") -> DataFrame:
+    """df, read from files, with ``name``: a struct that orders rows as their files hold them, files by path.
+
+    Rows of one block of a file come in order from one task, so the block's place
+    and a number that grows within the task order them, however files are split.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(name, at)
+
+
+def first_filled(search: DataFrame, otherwise: Callable[[], DataFrame]) -> DataFrame:
+    """search where it finds a row, else what ``otherwise`` makes: one of the two is read, since the branch is taken before."""
+    return otherwise() if search.isEmpty() else search

@@ -56,7 +56,7 @@ def k5_length_split(spark, sf_dir):
     return _messages(spark, sf_dir).groupBy("conv_id").agg(F.count_if(long).alias("n_long"), F.count_if(~long).alias("n_short"))
 
 
-_CASES = " ".join(f"WHEN list_has_any(tokens, {w.split()}) THEN '{c}'" for c, w in fixed.CATEGORIES.items())
+_CASES = " ".join(f"WHEN list_has_any(tokens, {w}) THEN '{c}'" for c, w in fixed.CATEGORIES.items())
 
 
 @query(f"""WITH n AS (SELECT page_id, url, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1)
@@ -70,7 +70,7 @@ def k6_source_category(spark, sf_dir):
     tokens = F.filter(F.split(F.lower(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2")), "[^a-z0-9]+"), lambda t: t != "")
     category = None
     for c, words in fixed.CATEGORIES.items():
-        test = F.arrays_overlap(F.col("tokens"), F.array(*map(F.lit, words.split())))
+        test = F.arrays_overlap(F.col("tokens"), F.array(*map(F.lit, words)))
         category = F.when(test, c) if category is None else category.when(test, c)
     found = table(spark, sf_dir, "pages").select("page_id", tokens.alias("tokens")).select("page_id", category.otherwise("unknown").alias("category"))
     return found.withColumn("sensitive", F.col("category").isin(*fixed.SENSITIVE))
@@ -90,6 +90,17 @@ def k7_name_score(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "c_custkey").limit(50)
 
 
+@query("""WITH n AS (SELECT s_suppkey, lower(s_name) AS r, lower(n_name) AS d, 'u' || s_suppkey AS u FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+s AS (SELECT s_suppkey, CASE WHEN 'nation_1' IN (r, d, u) THEN 3 WHEN contains(r, 'nation_1') OR contains(d, 'nation_1') OR contains(u, 'nation_1') THEN 2
+  WHEN len(list_filter(string_split('nation_1', ''), lambda ch: contains(r, ch) OR contains(d, ch))) = 8 THEN 1 ELSE 0 END AS score FROM n)
+SELECT s_suppkey, score FROM s WHERE score > 0""")
+def k7_three_names(spark, sf_dir):
+    """Suppliers by how well their real, display or user name fits one name."""
+    members = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    score = X.name_score("Nation_1", F.col("s_name"), F.col("n_name"), F.concat(F.lit("u"), "s_suppkey"))
+    return members.select("s_suppkey", score.alias("score")).where("score > 0")
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE contains(lower(role), lower('User'))")
 def f1_sender_target(spark, sf_dir):
     return _messages(spark, sf_dir).where(F.contains(F.lower("role"), F.lower(F.lit("User")))).select("conv_id", "turn")
@@ -231,6 +242,35 @@ def l2_container_budget(spark, sf_dir):
     return ranking.container_budget(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", [F.desc("ts"), "event_id"], 1000, 10).select("event_id", "user_id")
 
 
+@query("""WITH p AS (SELECT event_id, user_id, 'private' AS chat FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id LIMIT 1000),
+b AS (SELECT CASE WHEN (SELECT count(*) FROM p) < 1000 THEN greatest(10, (1000 - (SELECT count(*) FROM p)) // count(DISTINCT user_id)) ELSE 0 END AS budget FROM events WHERE user_id <> 7),
+n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events WHERE user_id <> 7)
+SELECT event_id, user_id, chat FROM p UNION ALL SELECT event_id, user_id, 'group' FROM n, b WHERE n <= budget""")
+def l2_private_first(spark, sf_dir):
+    """Newest messages under a budget of a thousand: those of the private chat first, what is left shared by the others, ten at least for each."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    found = ranking.priority_budget(events, "user_id", F.col("user_id") == 7, [F.desc("ts"), "event_id"], 1000, 10)
+    return found.select("event_id", "user_id", F.when(F.col("user_id") == 7, "private").otherwise("group").alias("chat"))
+
+
+_KINDS = list(fixed.CAPS)
+_SHOWN = f"""CASE conv_id % 5 WHEN 0 THEN length(text) <= 200 AND NOT {_LIKE('lower(text)', fixed.MAIL_DECISION + WORDS)} WHEN 1 THEN length(text) <= 50 AND NOT {_LIKE('text', fixed.CHAT_DECISION + WORDS)} WHEN 4 THEN true ELSE length(text) <= 50 END"""
+
+
+@query(f"""WITH n AS (SELECT {_KINDS}[conv_id % 5 + 1] AS kind, conv_id, turn, text, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id, turn) AS n FROM conversations WHERE {_SHOWN})
+SELECT kind, conv_id, turn, md5(CASE kind WHEN 'mail' THEN left(text, 200) ELSE text END) AS body FROM n WHERE n <= CASE kind {' '.join(f"WHEN '{k}' THEN {n}" for k, n in fixed.CAPS.items())} END""")
+def l1_display_caps(spark, sf_dir):
+    """The first messages of each kind of source in the order of the file, under the cap of its kind; bodies of mails are cut."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("conv_id") % 5 + 1).cast("int"))
+    rows = ranking.in_file_order(_messages(spark, sf_dir)).withColumn("kind", kind)
+    daily = F.when(F.col("kind") == "mail", X.length_bucket("text", fixed.MAIL_LONG, fixed.MAIL_DECISION + WORDS, fold=True) == "daily")
+    daily = daily.when(F.col("kind") == "export", X.length_bucket("text", fixed.CHAT_LONG, fixed.CHAT_DECISION + WORDS) == "daily")
+    shown = rows.where(daily.when(F.col("kind") == "context", True).otherwise(F.length("text") <= fixed.CHAT_LONG))
+    cap = F.element_at(F.create_map(*(F.lit(x) for pair in fixed.CAPS.items() for x in pair)), F.col("kind"))
+    first = ranking.first_n(shown, ["kind"], ["seq"], cap, most=max(fixed.CAPS.values()))
+    return first.select("kind", "conv_id", "turn", F.md5(F.when(F.col("kind") == "mail", F.substring("text", 1, fixed.MAIL_SHOWN)).otherwise(F.col("text"))).alias("body"))
+
+
 @query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3""")
 def l3_newest_first(spark, sf_dir):
     return ranking.first_n(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")], 3).select("user_id", "event_type", "event_id")

@@ -38,6 +38,30 @@ def m2_correction_append(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", M.with_correction(text, F.concat(F.lit("- not "), F.col("lang"))).alias("text"))
 
 
+_ENTRY = "chr(10) || '- [' || {0} || '] should not say ' || source || '; should say ' || lang"
+
+
+@query(f"""WITH e AS (SELECT doc_id, {_ENTRY.format("'general'")} AS e1, {_ENTRY.format("'chat'")} AS e2 FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '# P' || chr(10) || '## Correction Log' || e2 || e1 || chr(10) || 'rest' WHEN 1 THEN '# P' || chr(10) || '## Correction 记录' || e2 || e1
+  WHEN 2 THEN '# P' || chr(10) || chr(10) || '## Correction Log' || e2 || chr(10) || e1 || chr(10) ELSE '# P' || chr(10) || '## Correction Log' || e2 || e1 || chr(10) || '- old' END AS text FROM e""")
+def m2_correction_entries(spark, sf_dir):
+    """Two entries under the log of profiles: an empty one, an empty one with the older heading, none at all, and one with an entry."""
+    made = F.element_at(F.array(*map(F.lit, ["# P\n## Correction Log\n\n(No entries yet)\nrest", "# P\n## Correction 记录\n\n（暂无记录）", "# P", "# P\n## Correction Log\n- old"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    one = lambda scene: F.struct(F.lit(scene).cast("string").alias("scene"), F.concat(F.lit("say "), "source").alias("wrong"), F.concat(F.lit("say "), "lang").alias("correct"))
+    return _docs(spark, sf_dir).select("doc_id", M.corrected(made, F.array(one(None), one("chat"))).alias("text"))
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '## A' || chr(10) || 'new ' || lang WHEN 1 THEN '## A' || chr(10) || source || chr(10) || chr(10) || '## Correction Log' || chr(10) || {_ENTRY.format("'general'")} || chr(10) ELSE '## A' || chr(10) || source END AS text FROM documents""")
+def m4_update(spark, sf_dir):
+    """Profiles with a patch, which suppresses their corrections, with corrections alone, and with neither."""
+    docs = _docs(spark, sf_dir)
+    base = docs.select("doc_id", F.concat(F.lit("## A\n"), "source").alias("text"))
+    patches = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## A\nnew "), "lang")).otherwise("").alias("text"))
+    entry = F.struct(F.lit(None).cast("string").alias("scene"), F.concat(F.lit("say "), "source").alias("wrong"), F.concat(F.lit("say "), "lang").alias("correct"))
+    corrections = docs.where("doc_id % 3 < 2").select("doc_id", F.array(entry).alias("corrections"))
+    return M.updated(base, patches, corrections, "doc_id")
+
+
 @query("""SELECT event_id, 'w' || event_id AS wrong, event_type AS correct FROM events WHERE event_id % 4 <> 3
 UNION ALL SELECT event_id, 'also', 'this' FROM events WHERE event_id % 4 = 0""")
 def m3_corrections(spark, sf_dir):

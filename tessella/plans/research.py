@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella import fixed
 from tessella.functions import text as X
 from tessella.operators import notes as N
 from tessella.operators import ranking
@@ -48,7 +49,7 @@ def g4_tiers(spark, sf_dir):
 
 @query("SELECT source AS topic, 2 * count(*) AS mentions, count(DISTINCT doc_id % 50) + 1 AS distinct_urls FROM documents GROUP BY source")
 def g5_urls(spark, sf_dir):
-    found = _notes(spark, sf_dir).select("topic", F.explode(F.regexp_extract_all("text", F.lit(N.URL), F.lit(0))).alias("url"))
+    found = _notes(spark, sf_dir).select("topic", F.explode(F.regexp_extract_all("text", F.lit(fixed.NOTE_URL), F.lit(0))).alias("url"))
     return found.groupBy("topic").agg(F.count("*").alias("mentions"), F.countDistinct("url").alias("distinct_urls"))
 
 
@@ -200,4 +201,5 @@ def m8_paragraph_fold(spark, sf_dir):
   lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$|-->|\b(align|position|size|line)\b')), 'string_agg', '')) AS spoken FROM documents WHERE text <> ''""")
 def m9_subtitle_clean(spark, sf_dir):
     """Characters of what is spoken."""
-    return _cues(spark, sf_dir).select("doc_id", F.nullif(F.length(F.array_join(S.cue_lines("subtitles"), "")), F.lit(0)).alias("spoken"))
+    cues = S.spoken_lines(_cues(spark, sf_dir), "doc_id", "subtitles").groupBy("doc_id").agg(F.sum(F.length("_x")).alias("spoken"))
+    return _cues(spark, sf_dir).select("doc_id").join(cues, "doc_id", "left").select("doc_id", F.col("spoken").cast("int").alias("spoken"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella import fixed
 from tessella.functions import text as X
 from tessella.operators import ranking
 from tessella.plans import query
@@ -42,6 +43,52 @@ def r3_punctuation(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit("!"))).alias("shouts"), F.sum(contrast).alias("contrasts"), F.sum(F.length("text")).alias("chars"))
 
 
+_SHOWN = {"!": "👍🏽", "?": "👨‍👩‍👧", ".": "🇫🇷", ",": "1️⃣"}
+
+
+@query("""SELECT source, sum(length(text) - length(replace(text, '!', '')))::BIGINT AS shouts, sum(length(text) - length(translate(text, '!?.,', '')))::BIGINT AS emoji,
+round_even(1000.0 * sum(length(text) - length(translate(text, '!?.,', ''))) / sum(length(text)), 0)::BIGINT AS per_thousand FROM documents GROUP BY source""")
+def r3_emoji_density(spark, sf_dir):
+    """Emoji by source, as counts over characters; marks of the texts are turned into emoji of several code points."""
+    text = F.col("text")
+    for mark, emoji in _SHOWN.items():
+        text = F.replace(text, F.lit(mark), F.lit(emoji))
+    counted = _docs(spark, sf_dir).select("source", "text", X.emoji_count(text).alias("emoji"))
+    summed = counted.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("!"))).alias("shouts"), F.sum("emoji").alias("emoji"), F.sum(F.length("text")).alias("chars"))
+    return summed.select("source", "shouts", "emoji", F.bround(1000.0 * F.col("emoji") / F.col("chars"), 0).cast("long").alias("per_thousand"))
+
+
+@query(rf"""WITH c AS (SELECT word, count(DISTINCT source) AS contexts FROM (SELECT source, unnest(string_split_regex(text, '{_SPACES}')) AS word FROM documents) WHERE word <> '' GROUP BY word)
+SELECT CASE WHEN contexts >= 3 THEN 'conflict' WHEN contexts >= 2 THEN 'recurs' ELSE 'once' END AS kind, count(*) AS words, sum(contexts)::BIGINT AS contexts FROM c GROUP BY ALL""")
+def r4_context_rules(spark, sf_dir):
+    """Words that recur (two sources) and that can stand against another account (three)."""
+    contexts = _docs(spark, sf_dir).select("source", F.explode(F.split("text", _SPACES)).alias("word")).where("word <> ''").distinct().groupBy("word").agg(F.count("source").alias("contexts"))
+    kind = F.when(F.col("contexts") >= fixed.CONFLICT_SOURCES, "conflict").when(F.col("contexts") >= fixed.RECURRENT_CONTEXTS, "recurs").otherwise("once")
+    return contexts.groupBy(kind.alias("kind")).agg(F.count("*").alias("words"), F.sum("contexts").alias("contexts"))
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) AS urls, 100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*) AS ratio, count(DISTINCT o_orderpriority) AS tensions FROM orders GROUP BY o_custkey)
+SELECT o_custkey, concat_ws(',', CASE WHEN ratio < 50 THEN 'primary' END, CASE WHEN urls < 8 THEN 'urls' END, CASE WHEN tensions < 3 THEN 'tensions' END) AS reasons FROM c""")
+def r8_audit_rules(spark, sf_dir):
+    """Why the evidence on a customer fails an audit: under half of it primary, fewer than eight pieces, fewer than three kinds."""
+    counted = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("urls"), F.count_if(F.col("o_orderstatus") == "F").alias("p"), F.countDistinct("o_orderpriority").alias("tensions"))
+    least = fixed.AUDIT_LEAST
+    why = F.concat_ws(",", F.when(100.0 * F.col("p") / F.col("urls") < least["primary"], "primary"), F.when(F.col("urls") < least["urls"], "urls"), F.when(F.col("tensions") < least["tensions"], "tensions"))
+    return counted.select("o_custkey", why.alias("reasons"))
+
+
+@query("""WITH k AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'model' WHEN 'click' THEN 'heuristic' WHEN 'error' THEN 'tension' END AS kind, user_id % 4 = 0 AS cold FROM events),
+c AS (SELECT user_id, kind, cold, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL)
+SELECT user_id, kind, n, CASE kind WHEN 'model' THEN n BETWEEN CASE WHEN cold THEN 2 ELSE 3 END AND CASE WHEN cold THEN 3 ELSE 7 END WHEN 'heuristic' THEN n BETWEEN 5 AND 10 ELSE n >= 2 END AS fits FROM c""")
+def r15_cardinality_rules(spark, sf_dir):
+    """Counts of models, heuristics and tensions against the bounds of their kind; figures of whom little is known have other ones for models."""
+    kind = F.when(F.col("event_type") == "view", "model").when(F.col("event_type") == "click", "heuristic").when(F.col("event_type") == "error", "tension")
+    counted = table(spark, sf_dir, "events").select("user_id", kind.alias("kind")).where("kind IS NOT NULL").groupBy("user_id", "kind").agg(F.count("*").alias("n"))
+    name = F.when((F.col("kind") == "model") & (F.col("user_id") % 4 == 0), "cold_model").otherwise(F.col("kind"))
+    bound = F.element_at(F.create_map(*(x for k, (lo, hi) in fixed.CARDINALITY.items() for x in (F.lit(k), F.array(F.lit(lo), F.lit(hi))))), name)
+    return counted.select("user_id", "kind", "n", (F.col("n") >= bound[0]) & F.coalesce(F.col("n") <= bound[1], F.lit(True))).toDF("user_id", "kind", "n", "fits")
+
+
 @query(rf"SELECT word, count(DISTINCT source) AS contexts FROM (SELECT source, unnest(string_split_regex(text, '{_SPACES}')) AS word FROM documents) WHERE word <> '' GROUP BY word HAVING count(DISTINCT source) >= 15")
 def r4_recurrence(spark, sf_dir):
     """Words that stand in fifteen of the sources or more."""

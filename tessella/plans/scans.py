@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella import steps
+from tessella import fixed, steps
 from tessella.operators import directory, ranking
 from tessella.plans import query
 from tessella.session import table
-from tessella.sources import mail
+from tessella.sources import configs, mail, markup
 
 
 def _tree(spark, sf_dir):
@@ -84,6 +84,23 @@ def a10_cursor_pages(spark, sf_dir):
     return reached.select("event_type", F.explode(F.from_json("items", "array<struct<event_id:long>>")).alias("i")).select("event_type", "i.event_id")
 
 
+@query("""WITH w AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY source LIMIT 5),
+n AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents JOIN w USING (source))
+SELECT doc_id, source FROM n WHERE n <= 20 AND (doc_id % 4 = 0 OR lang = 'en') ORDER BY source, doc_id DESC LIMIT 60""")
+def a14_workspace_fallback(spark, sf_dir):
+    """Documents of a creator (or of unknown creator) by a search; as it finds none, among the twenty newest of each of five workspaces, sixty in all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 4 > 0, F.col("lang")).alias("creator"))
+    own = F.coalesce(F.col("creator") == "en", F.lit(True))
+    search = docs.where(F.col("source") == "a source that nobody has").where(own)
+
+    def walked():
+        # Five rows, so safe to send to every task.
+        spaces = docs.where("source IS NOT NULL").select("source").distinct().orderBy("source").limit(5)
+        return ranking.first_n(docs.join(F.broadcast(spaces), "source", "left_semi"), ["source"], [F.desc("doc_id")], 20).where(own)
+
+    return ranking.first_filled(search, walked).orderBy("source", F.desc("doc_id")).limit(60).select("doc_id", "source")
+
+
 @query("""SELECT doc_id, source FROM documents WHERE source = 'src3' AND doc_id % 2 = 0
 UNION ALL SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents WHERE source IN ('src4', 'src5')) WHERE n <= 20 AND NOT EXISTS (SELECT 1 FROM documents WHERE source = 'src3' AND doc_id % 2 = 0)""")
 def a14_search_or_walk(spark, sf_dir):
@@ -121,6 +138,18 @@ def a18_last_items(spark, sf_dir):
     return items.where("i >= k - 3").select("page_id", (F.col("i") + 1).cast("long").alias("n"), "item")
 
 
+@query(r"""WITH l AS (SELECT page_id, list_filter(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 0), lambda x: contains(regexp_extract(x, '>([^<]*)</a>', 1), 'th')) AS l FROM pages),
+e AS (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) - greatest(len(l) - 3, 0) AS n FROM l)
+SELECT page_id, n, trim(replace(regexp_extract(x, '>([^<]*)</a>', 1), '&amp;', '&')) AS sender, regexp_extract(x, 'href="([^"]*)"', 1) || chr(10) || trim(replace(regexp_extract(x, '>([^<]*)</a>', 1), '&amp;', '&')) AS content FROM e WHERE n > 0""")
+def a18_page_messages(spark, sf_dir):
+    """The last three messages of senders that hold a name, from the markup of whole pages; the items of their lists are turned into messages."""
+    item = '<li class="x msg-list-item"><span class=name>$2</span><div class="text-content">$1<br>$2</div></li>'
+    html = F.regexp_replace("html", '<li><a href="([^"]*)">([^<]*)</a></li>', item)
+    found = markup.messages(html, fixed.PAGE_MESSAGES["browser"], "th", last=3)
+    each = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("i", "m"))
+    return each.select("page_id", (F.col("i") + 1).cast("long").alias("n"), "m.sender", "m.content")
+
+
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase,
   count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1""")
 def a19_grid(spark, sf_dir):
@@ -144,19 +173,35 @@ def a21_config_keys(spark, sf_dir):
     return top.unionByName(nested)
 
 
+@query("""SELECT event_id, unnest(CASE event_id % 6 WHEN 0 THEN ['mail-' || user_id, 'chat', event_type] WHEN 1 THEN ['mail-' || user_id, event_type] WHEN 2 THEN ['mail-' || user_id, event_type] WHEN 3 THEN [event_type, 'b-' || user_id, 'again'] ELSE [] END) AS name FROM events""")
+def a21_config_files(spark, sf_dir):
+    """Names of configured sources in JSON, TOML and YAML of odd layouts, each once; broken files and files without the section give none."""
+    files = {
+        0: '{"mcpServers":{"mail-U":{},"chat":{"env":{"no":1}}},"projects":{"/p":{"mcpServers":{"T":{},"chat":{}}},"/q":{"mcpServers":[1]},"/r":7}}',
+        1: "[other]\n  [ mcp_servers.\"mail-U\" ]\ncommand = 'x'\n[mcp_servers.T]\n[mcp_servers.T.env]\nk = '[mcp_servers.no]'\n",
+        2: "other:\n  x: 1\nmcp_servers:\n  mail-U:\n    command: run\n  # note: no\n\n  T:\n    url: x\nlast:\n  no: 1\n",
+        3: "mcp_servers :\n\n    T: 1\n  odd: 2\n    b-U: 3\n    - item: no\nmcp_servers:\n    again: 1\nend: 1\nmcp_servers:\n    never: 1\n",
+        4: '{"mcpServers": {"mail-U":',
+        5: "servers:\n  T: 1\n# mcp_servers:\n  no: 1\n",
+    }
+    made = F.element_at(F.array(*map(F.lit, files.values())), (F.col("event_id") % 6 + 1).cast("int"))
+    filled = F.replace(F.replace(made, F.lit("T"), F.col("event_type")), F.lit("U"), F.col("user_id").cast("string"))
+    raw = table(spark, sf_dir, "events").select("event_id", filled.alias("raw"))
+    of = lambda keys, kind: raw.where(kind).select("event_id", F.explode(F.array_distinct(keys)).alias("name"))
+    json, toml = of(configs.json_keys("raw"), "event_id % 6 IN (0, 4)"), of(configs.toml_keys("raw"), "event_id % 6 = 1")
+    return json.union(toml).union(configs.yaml_keys(raw.where("event_id % 6 IN (2, 3, 5)"), "event_id", "raw").select("event_id", "name").distinct())
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'social' WHEN 1 THEN 'docs' WHEN 2 THEN 'ai_memory' WHEN 3 THEN 'mail' WHEN 4 THEN 'social' END AS category FROM part""")
 def a22_export_files(spark, sf_dir):
     """Category of export files by the first pattern that fits their name (j5)."""
     names = F.array(*map(F.lit, ["Twitter-", "takeout-", "ChatGPT-data-", "box", "instagram-", "notes"]))
     ends = F.array(*map(F.lit, [".zip", ".tgz", ".json", ".MBOX", ".zip", ".txt"]))
     k = (F.col("p_partkey") % 6 + 1).cast("int")
-    name = F.lower(F.concat(F.element_at(names, k), F.col("p_partkey"), F.element_at(ends, k)))
-    category, patterns = None, [
-        (r"^twitter-.*\.zip$|^x-archive.*\.zip$", "social"), (r"^takeout-.*\.(zip|tgz)$", "docs"), (r"chatgpt|openai.*export|conversations\.json$", "ai_memory"), (r"^claude.*export|^data-.*claude", "ai_memory"),
-        (r"\.(mbox|eml)$", "mail"), (r"^instagram-.*\.zip$|^facebook-.*\.zip$", "social"),
-    ]
-    for pattern, found in patterns:
-        test = F.rlike(name, F.lit(pattern))
+    name = F.concat(F.element_at(names, k), F.col("p_partkey"), F.element_at(ends, k))
+    category = None
+    for pattern, found in fixed.EXPORT_PATTERNS:
+        test = F.rlike(name, F.lit(f"(?i){pattern}"))
         category = F.when(test, found) if category is None else category.when(test, found)
     return table(spark, sf_dir, "part").select("p_partkey", category.alias("category"))
 
@@ -207,10 +252,11 @@ def a3_mailbox(spark, sf_dir):
     return found.select(F.col("path").cast("long").alias("conv_id"), F.substring("subject", 6, 9).cast("long").alias("turn"), F.col("from").alias("sender"), "subject")
 
 
-@query(r"""SELECT conv_id, turn, role || '@example.com' AS sender, md5(trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' ')) AS body FROM conversations WHERE trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' ') <> ''""")
+@query(r"""SELECT conv_id, turn, role || '@example.com' AS sender, md5(CASE WHEN starts_with(body, 'From ') THEN '>' || body ELSE body END) AS body FROM (SELECT *, trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' ') AS body FROM conversations) WHERE body <> ''""")
 def a3_mailbox_files(spark, sf_dir):
     """Mailboxes of many mails, landed as files that tasks read block by block, cut and parsed."""
     body = F.btrim(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), F.lit(" "))
+    body = F.when(F.startswith(body, F.lit("From ")), F.concat(F.lit(">"), body)).otherwise(body)  # as mailboxes quote it
     mail_ = F.concat(F.lit("From x\nFrom: "), F.col("role"), F.lit("@example.com\nSubject: "), F.col("conv_id"), F.lit(" "), F.col("turn"), F.lit("\n\n"), body, F.lit("\n"))
     folder = steps.new_folder(spark, "mailboxes")
     boxes = table(spark, sf_dir, "conversations").select(mail_.alias("value"))

@@ -41,9 +41,8 @@ def kept(messages: DataFrame, target: str = "", kind: str = "export") -> DataFra
 
 def parse_lines(rows: DataFrame, line: str, target: str) -> DataFrame:
     """sender, content, timestamp of lines ``date [time] sender: content`` from the target, and of other lines that name it."""
-    pattern = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:\s\d{1,2}:\d{2}(?::\d{2})?)?)\s+([^:：]+?)\s*[:：]\s*(.+)$"
-    part = lambda k: X.strip(F.regexp_extract(line, pattern, k))
-    parsed = rows.select("*", F.rlike(F.col(line), F.lit(pattern)).alias("_is"), part(1).alias("_t"), part(2).alias("_s"), part(3).alias("_c"))
+    part = lambda k: X.strip(F.regexp_extract(line, fixed.CHAT_LINE, k))
+    parsed = rows.select("*", F.rlike(F.col(line), F.lit(fixed.CHAT_LINE)).alias("_is"), part(1).alias("_t"), part(2).alias("_s"), part(3).alias("_c"))
     own = F.col("_is") & F.contains("_s", F.lit(target))
     named = ~F.col("_is") & F.contains(line, F.lit(target))
     stay = parsed.where((own & ~F.col("_c").isin(*fixed.PLACEHOLDERS["export"])) | named)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella import fixed
 from tessella.functions import text as X
 
-CUE = r"^\s*(\d{2}:\d{2}:\d{2}[\.,]\d{3}|\d{2}:\d{2}[\.,]\d{3})\s+-->\s+"
-
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """batch (folder), path (file name), text of all .md files, in sub-folders too."""
@@ -21,22 +20,13 @@ def track(name: Column | str) -> Column:
     return F.nullif(F.regexp_extract(X.column(name), "^([0-9]{2})[-_]", 1), F.lit(""))
 
 
-def cue_lines(subtitles: Column | str) -> Column:
-    """Spoken lines of SRT or VTT: no header, notes, numbers, times, tags and settings."""
-    body = F.regexp_replace(X.column(subtitles), r"(?s)^WEBVTT.*?(?:\n\n|\r\n\r\n)", "")
-    body = F.regexp_replace(body, r"(?ms)^NOTE.*?(?:\n\n|\r\n\r\n)", "")
-    spoken = F.filter(F.transform(X.lines(body), X.strip), lambda x: (x != "") & ~F.rlike(x, F.lit("^[0-9]+$")) & ~F.rlike(x, F.lit(CUE)))
-    bare = lambda x: F.regexp_replace(X.strip(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), r"\b(?:align|position|size|line):\S+", "")), r"\s+", " ")
-    return F.filter(F.transform(spoken, bare), lambda x: x != "")
-
-
 def spoken_lines(rows: DataFrame, key: str, subtitles: str) -> DataFrame:
-    """key, _i, _x: the same lines, a row each, cleaned in generated code."""
-    body = F.regexp_replace(F.regexp_replace(subtitles, r"(?s)^WEBVTT.*?(?:\n\n|\r\n\r\n)", ""), r"(?ms)^NOTE.*?(?:\n\n|\r\n\r\n)", "")
+    """key, _i, _x: spoken lines of SRT or VTT, a row each: no header, notes, numbers, times, tags and settings."""
+    body = F.regexp_replace(F.regexp_replace(subtitles, f"(?s){fixed.SUBTITLE_HEADER}", ""), f"(?ms){fixed.SUBTITLE_NOTE}", "")
     each = rows.select(key, body.alias("_body")).select(key, F.posexplode(X.lines("_body")).alias("_i", "_x")).withColumn("_x", X.strip("_x"))
-    kept = each.where((F.col("_x") != "") & ~F.rlike("_x", F.lit("^[0-9]+$")) & ~F.rlike("_x", F.lit(CUE)))
-    tagless = F.when(F.contains("_x", F.lit("<")), F.regexp_replace("_x", "<[^>]+>", "")).otherwise(F.col("_x"))
-    plain = F.when(F.contains("_x", F.lit(":")), F.regexp_replace(tagless, r"\b(?:align|position|size|line):\S+", "")).otherwise(tagless)
+    kept = each.where((F.col("_x") != "") & ~F.rlike("_x", F.lit("^[0-9]+$")) & ~F.rlike("_x", F.lit(fixed.SUBTITLE_CUE)))
+    tagless = F.when(F.contains("_x", F.lit("<")), F.regexp_replace("_x", fixed.SUBTITLE_TAG, "")).otherwise(F.col("_x"))
+    plain = F.when(F.contains("_x", F.lit(":")), F.regexp_replace(tagless, fixed.SUBTITLE_SETTING, "")).otherwise(tagless)
     bare = F.regexp_replace(X.strip(plain), r"\s+", " ")
     return kept.withColumn("_x", bare).where("_x <> ''")
 
