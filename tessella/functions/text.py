@@ -118,3 +118,23 @@ EMOJI = rf"[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[0-9#*]\x{{FE0F}}?\x{{20E3}}|{_PICTURE
 def emoji_count(c: Column | str) -> Column:
     """Emoji in a text, a sequence of code points that shows as one counting once."""
     return F.regexp_count(column(c), F.lit(EMOJI))
+
+
+def safe_segment(c: Column | str) -> Column:
+    """Whether a text can name one file or folder anywhere: no way up, no end that is cut off, no reserved name or character."""
+    c = column(c)
+    plain = (c != "") & ~c.isin(".", "..") & (F.length(c) <= fixed.SEGMENT_MOST) & ~F.rlike(c, F.lit(r"[. ]\z"))
+    return F.coalesce(plain & ~F.rlike(c, F.lit(f"(?i){fixed.RESERVED_NAMES}")) & ~F.rlike(c, F.lit(fixed.UNSAFE_CHARACTERS)), F.lit(False))
+
+
+def contained(base: Column | str, path: Column | str) -> Column:
+    """Whether a path, read from base where it isn't absolute, ends below base, once its . and .. are taken."""
+
+    def resolved(p: Column) -> Column:
+        step = lambda at, s: F.when(s.isin("", "."), at).when(s == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.concat(at, F.array(s)))
+        return F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
+
+    base, path = column(base), column(path)
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(base, F.lit("/"), path))
+    above, below = resolved(base), resolved(whole)
+    return F.coalesce((F.size(below) > F.size(above)) & (F.slice(below, F.lit(1), F.size(above)) == above), F.lit(False))

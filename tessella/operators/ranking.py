@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella import steps
+
 
 def first_n(df: DataFrame, by: list[str | Column], order: list[str | Column], n: int | Column, most: int | None = None) -> DataFrame:
     """The first n rows of each group.
@@ -23,6 +25,23 @@ def keep_first(df: DataFrame, key: list[str | Column], order: list[str | Column]
     return first_n(df, key, order, 1)
 
 
+def numbered(df: DataFrame, by: str, order: list[str], name: str = "n") -> DataFrame:
+    """df with the place (from 1) of each row within its ``by``, also where one value of it holds most rows.
+
+    Rows are dealt to ranges of (by, order), so that no task gets a whole group
+    for being one; each range numbers its own, and the rows of a group in the
+    ranges before it are added: a table of one row for each range and group in it.
+    """
+    spark, parts = df.sparkSession, steps.parts_of(df.sparkSession)
+    dealt = df.repartitionByRange(parts, by, *order).withColumn("_range", F.spark_partition_id())
+    dealt = steps.written(dealt, steps.new_folder(spark, "ranges"))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(by, "_range").agg(F.count("*").alias("_size")).select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range", by).orderBy(*order)))
+    joined = own.join(sizes, (F.col("_range") == F.col("_r")) & F.col(by).eqNullSafe(F.col("_by")))
+    return joined.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_r", "_by", "_own", "_before")
+
+
 def container_budget(df: DataFrame, container: str, order: list[str | Column], limit: int, least: int) -> DataFrame:
     """The first rows of each container, max(least, limit div containers) of each; the total may exceed limit."""
     containers = df.select(container).distinct().agg(F.greatest(F.lit(least), F.expr(f"{limit} div greatest(count(*), 1)")).alias("_budget"))

@@ -206,6 +206,25 @@ def f13_safe_segment(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.rlike(name, F.lit(r"^[A-Za-z0-9][A-Za-z0-9_-]*$")).alias("safe"))
 
 
+_SEGMENTS = ["ok", "..", "con", "CON.txt", "console", "a b", "end.", "a/b", "x?", "."]
+
+
+@query(f"""SELECT page_id, s AS segment, page_id % 10 IN (0, 4, 5) AND length(s) <= 255 AS safe FROM (SELECT page_id, {_SEGMENTS}[page_id % 10 + 1] || CASE WHEN page_id % 10 IN (0, 5) THEN regexp_extract(url, '^https?://([^/?#:]+)', 1) ELSE '' END AS s FROM pages)""")
+def f13_safe_names(spark, sf_dir):
+    """Which names can be that of a file: some of pages' hosts, some reserved, cut off, or ways out of a folder."""
+    k = F.col("page_id") % 10
+    host = F.when(k.isin(0, 5), F.regexp_extract("url", "^https?://([^/?#:]+)", 1)).otherwise("")
+    segment = F.concat(F.element_at(F.array(*map(F.lit, _SEGMENTS)), (k + 1).cast("int")), host)
+    return table(spark, sf_dir, "pages").select("page_id", segment.alias("segment")).withColumn("safe", X.safe_segment("segment"))
+
+
+@query("""SELECT page_id, len(list_filter(string_split(regexp_extract(url, '^https?://([^?#]+)', 1), '/'), lambda s: s <> '')) > page_id % 5 AS inside FROM pages""")
+def f13_contained(spark, sf_dir):
+    """Whether the path of a page, with some ways up behind it, is still below its folder."""
+    path = F.concat(F.regexp_extract("url", "^https?://([^?#]+)", 1), F.repeat(F.lit("/./.."), (F.col("page_id") % 5).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", X.contained(F.lit("/srv/pages"), path).alias("inside"))
+
+
 @query("SELECT s_suppkey FROM supplier WHERE contains(s_name, '07') OR contains('S-' || s_nationkey, '-1')")
 def f16_name_match(spark, sf_dir):
     return table(spark, sf_dir, "supplier").where(F.contains("s_name", F.lit("07")) | F.contains(F.concat(F.lit("S-"), F.col("s_nationkey")), F.lit("-1"))).select("s_suppkey")

@@ -159,9 +159,21 @@ def b6_marked_block(spark, sf_dir):
 @query("""SELECT doc_id FROM (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents) WHERE before IS NULL OR sha256(text) <> sha256(before)""")
 def m18_save_if_changed(spark, sf_dir):
     """Saves (documents of a source in order) that differ from the one before."""
-    digests = _docs(spark, sf_dir).select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    before = F.lag("h").over(Window.partitionBy("source").orderBy("doc_id"))
-    return digests.withColumn("before", before).where("before IS NULL OR h <> before").select("doc_id")
+    digests = ranking.numbered(_docs(spark, sf_dir).select("doc_id", "source", F.sha2("text", 256).alias("h")), "source", ["doc_id"])
+    before = digests.select(F.col("source").alias("s"), (F.col("n") + 1).alias("next"), F.col("h").alias("before"))
+    joined = digests.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("n") == F.col("next")), "left")
+    return joined.where("before IS NULL OR h <> before").select("doc_id")
+
+
+@query("""SELECT user_id, event_type AS artifact, max(event_id) AS event_id, count(*) AS versions FROM events GROUP BY ALL""")
+def b5_artifacts(spark, sf_dir):
+    """Artifact sets appended in two writes, a folder for each artifact, and read back: the newest of each, and how many are kept."""
+    path = steps.new_folder(spark, "artifacts")
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("artifact"), "event_id")
+    sinks.append_artifacts(rows.where("event_id % 2 = 0"), path)
+    sinks.append_artifacts(rows.where("event_id % 2 = 1"), path)
+    kept = spark.read.schema("user_id long, event_id long, artifact string").parquet(path)
+    return kept.groupBy("user_id", "artifact").agg(F.max("event_id").alias("event_id"), F.count("*").alias("versions"))
 
 
 @query("""SELECT p_partkey, 'v' || (coalesce(try_cast(regexp_extract(label, '^v(\\d+)', 1) AS INT), 1) + 1) AS next FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'v' || p_size WHEN 1 THEN 'v' || p_size || '_restored' ELSE 'draft' END AS label FROM part)""")

@@ -71,6 +71,13 @@ def g8_totals(spark, sf_dir):
     return _notes(spark, sf_dir).join(found, "doc_id", "left").groupBy("topic").agg(F.count("*").alias("files"), F.sum(F.coalesce("n", F.lit(0))).alias("findings"))
 
 
+@query("""SELECT source AS topic, count(*) AS files, coalesce(sum(length(text)), 0)::BIGINT AS characters FROM documents GROUP BY source""")
+def g8_characters(spark, sf_dir):
+    """Files of each topic and the characters in them."""
+    grouped = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("topic"))
+    return grouped.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+
+
 @query("""SELECT source AS topic, count(*) FILTER (doc_id % 10 < 8) AS tracked, count(DISTINCT CASE WHEN doc_id % 10 < 8 THEN doc_id % 10 END) AS tracks,
   coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM (VALUES ('01', 1), ('02', 2), ('03', 3), ('04', 4), ('05', 5), ('06', 6)) v(t, k) WHERE k NOT IN (SELECT doc_id % 10 FROM documents e WHERE e.source = d.source)), '') AS missing
 FROM documents d GROUP BY source""")

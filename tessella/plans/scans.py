@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella import fixed, steps
@@ -75,8 +74,8 @@ def a13_bounded_search(spark, sf_dir):
 @query("""SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events) WHERE event_type <> 'error' OR n < 150""")
 def a10_cursor_pages(spark, sf_dir):
     """Rows of the landed pages of each channel, fifty a page, up to the first page without a next cursor; one channel's third page has none."""
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    paged = table(spark, sf_dir, "events").select("event_type", "event_id").withColumn("page", F.floor(n / 50))
+    numbered = ranking.numbered(table(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", ["event_id"])
+    paged = numbered.select("event_type", "event_id", F.expr("(n - 1) div 50").alias("page"))
     cursor = F.when((F.col("event_type") != "error") | (F.col("page") != 2), "next")
     pages = paged.groupBy("event_type", "page").agg(F.to_json(F.collect_list(F.struct("event_id"))).alias("items")).withColumn("cursor", cursor)
     last = pages.where("cursor IS NULL").groupBy("event_type").agg(F.min("page").alias("last"))
@@ -84,6 +83,17 @@ def a10_cursor_pages(spark, sf_dir):
     return reached.select("event_type", F.explode(F.from_json("items", "array<struct<event_id:long>>")).alias("i")).select("event_type", "i.event_id")
 
 
+@query("""SELECT event_id, '| ' || json_extract_string(props, '$.k') || ' |  |' AS line FROM events WHERE event_id % 300 < CASE WHEN event_id // 300 % 2 = 0 THEN 100 ELSE 200 END""")
+def a17_sheet_rows(spark, sf_dir):
+    """Records of sheets as rows of their fields, also of one that they lack: the first hundred of a sheet of one provider, two hundred of the other's."""
+    records = table(spark, sf_dir, "events").select("event_id", F.expr("event_id div 300").alias("tab"), F.from_json("props", "map<string,string>").alias("cells"))
+    first = ranking.first_n(records, ["tab"], ["event_id"], F.when(F.col("tab") % 2 == 0, 100).otherwise(200), most=200)
+    fields = first.select("tab").distinct().select("tab", F.posexplode(F.array(F.lit("k"), F.lit("missing"))).alias("place", "field"))
+    cell = F.translate(F.regexp_replace(F.coalesce(F.try_element_at("cells", F.col("field")), F.lit("")), r"\|", "｜"), "\n", " ")
+    each = first.join(fields, "tab").groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("place", cell.alias("cell")))).alias("row"))
+    return each.select("event_id", F.concat(F.lit("| "), F.array_join(F.transform("row", lambda c: c["cell"]), " | "), F.lit(" |")).alias("line"))
+
+
 @query("""WITH w AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY source LIMIT 5),
 n AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents JOIN w USING (source))
 SELECT doc_id, source FROM n WHERE n <= 20 AND (doc_id % 4 = 0 OR lang = 'en') ORDER BY source, doc_id DESC LIMIT 60""")

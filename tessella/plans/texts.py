@@ -72,6 +72,15 @@ def a6_chat_txt(spark, sf_dir):
     return chat.parse_lines(raw, "line", "user").select("conv_id", "turn", "sender", "content", F.col("timestamp").alias("ts"))
 
 
+@query("""WITH l AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS l FROM conversations), e AS (SELECT conv_id, turn, role, generate_subscripts(l, 1) - 1 AS place, trim(unnest(l)) AS line FROM l)
+SELECT conv_id, turn, place, role AS sender, line AS content FROM e WHERE contains(role, 'user') AND line <> '' AND NOT regexp_matches(line, '^[:：]+$')""")
+def a6_chat_lines(spark, sf_dir):
+    """Every line of every message, as an export of lines with date and sender, parsed."""
+    each = _chat(spark, sf_dir).select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    line = F.concat(F.lit("2024-1-5 10:00:01 "), F.col("role"), F.lit(": "), F.trim("text"))
+    return chat.parse_lines(each.select("conv_id", "turn", "place", line.alias("line")), "line", "user").where("timestamp <> ''").select("conv_id", "turn", F.col("place").cast("long").alias("place"), "sender", "content")
+
+
 @query("""SELECT event_id // 50 AS box, event_type || '@example.com' AS sender, 'no ' || event_id AS subject, strftime(ts, '%Y-%m-%d') AS date, 'value ' || user_id AS body FROM events""")
 def a4_mail_txt(spark, sf_dir):
     """Text logs of fifty mails each, cut at rules that a From: follows."""
@@ -132,6 +141,19 @@ def p12_post(spark, sf_dir):
     return posts.normalised(posts.as_pages(table(spark, sf_dir, "events"))).select("id", "content", "published_at", "url", F.col("metrics")["likes"].alias("likes"), F.col("metrics")["replies"].alias("replies"))
 
 
+@query("""SELECT event_id::VARCHAR AS id, 'event ' || user_id AS content, CASE event_id % 4 WHEN 0 THEN 'en-US' WHEN 1 THEN event_type END AS language,
+CASE event_id % 3 WHEN 0 THEN 'name_' || user_id ELSE 'page_' || user_id END AS username, event_id % 3 = 0 AS verified, 'untrusted_candidate_evidence' AS trust FROM events""")
+def p12_post_fields(spark, sf_dir):
+    """Language, author and mark of posts: languages that are no tag go, authors without a fitting name have that of the address."""
+    k = F.col("event_id")
+    address = F.concat(F.lit("https://x.com/page_"), F.col("user_id"), F.lit("/status/"), k)
+    author = F.struct(F.when(k % 3 == 0, F.concat(F.lit("name_"), F.col("user_id"))).when(k % 3 == 1, "no name!").alias("username"), F.when(k % 3 == 0, True).alias("verified"))
+    language = F.when(k % 4 == 0, "en-US").when(k % 4 == 1, F.col("event_type")).when(k % 4 == 2, "1x")
+    post = F.struct(k.cast("string").alias("id"), F.concat(F.lit(" event "), F.col("user_id")).alias("text"), address.alias("url"), author.alias("author"), language.alias("lang"))
+    pages = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.array(post).alias("tweets"))).alias("raw"))
+    return posts.normalised(pages).select("id", "content", "language", "author.username", "author.verified", "trust")
+
+
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN 'in ' || event_type END AS at FROM events""")
 def p13_timestamp(spark, sf_dir):
     """Seconds become ISO times, other texts stay (cleaned), and blanks are null."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella import fixed
 from tessella.functions import text as X
 from tessella.functions import urls
 
@@ -30,18 +31,23 @@ def iso_time(raw: Column) -> Column:
 
 
 def normalised(pages: DataFrame, raw: str = "raw") -> DataFrame:
-    """id, content, content_truncated, published_at, url, author, metrics (without nulls), trust of the posts of each page; odd ones go."""
+    """id, content, content_truncated, published_at, url, language, author, metrics (without nulls), trust of the posts of each page; odd ones go.
+
+    A language is one that is text and looks like a tag; the author's name comes
+    from the address where the post gives none that can be one.
+    """
     listed = F.coalesce(F.get_json_object(raw, "$.tweets"), F.get_json_object(raw, "$.data.tweets"))
     each = pages.select(F.explode(F.from_json(listed, "array<string>")).alias("post")).select(fields("post").alias("post"))
     each = each.select("post", fields(F.col("post")["author"]).alias("author"))
     get = lambda path: F.try_element_at(*((F.col("author"), F.lit(path[7:])) if path.startswith("author.") else (F.col("post"), F.lit(path))))
     metrics = F.map_filter(F.create_map(*(x for name, keys in METRICS.items() for x in (F.lit(name), metric("post", *keys)))), lambda _, v: v.isNotNull())
     posts = each.select(
-        get("id").alias("id"), X.capped(get("text"), 500).alias("content"), (F.length(get("text")) > 500).alias("content_truncated"), iso_time(F.coalesce(get("createdAt"), get("created"))).alias("published_at"),
-        urls.permalink(get("id"), get("author.username"), get("url")).alias("url"), F.struct(get("author.id").alias("id"), X.capped(get("author.name"), 100).alias("name"), get("author.username").alias("username")).alias("author"),
-        metrics.alias("metrics"), F.lit("untrusted_public_content").alias("trust"),
+        get("id").alias("id"), X.capped(get("text"), 500).alias("content"), (F.length(get("text")) > 500).alias("content_truncated"), iso_time(F.coalesce(get("created"), get("created_at"), get("createdAt"))).alias("published_at"),
+        urls.permalink(get("id"), get("author.username"), get("url")).alias("url"), F.when(F.rlike(get("lang"), F.lit(fixed.LANGUAGE_TAG)), get("lang")).alias("language"), F.struct(get("author.id").alias("id"), X.capped(get("author.name"), 100).alias("name"), get("author.username").alias("username"), F.coalesce(get("author.verified") == "true", F.lit(False)).alias("verified")).alias("author"),
+        metrics.alias("metrics"), F.lit(fixed.POST_TRUST).alias("trust"),
     )
-    return posts.where("content <> '' AND url IS NOT NULL")
+    name = F.when(F.rlike("author.username", F.lit(fixed.POST_USER)), F.col("author.username")).otherwise(F.regexp_extract("url", "^https://[^/]+/([^/]+)/", 1))
+    return posts.where("content <> '' AND url IS NOT NULL").withColumn("author", F.col("author").withField("username", name))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -23,3 +23,8 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """df written to path and read back: its lineage ends there, and a lost executor loses nothing of it."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts_of(spark: SparkSession) -> int:
+    """Partitions of a shuffle that must not be coalesced."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
