@@ -18,7 +18,8 @@ def _docs(spark, sf_dir):
 
 
 def _words(spark, sf_dir, *columns):
-    return _docs(spark, sf_dir).select(*columns, F.explode(F.filter(F.split("text", _SPACES), lambda w: w != "")).alias("word"))
+    # Blanks go after the explode, in generated code: a lambda over each array would be interpreted.
+    return _docs(spark, sf_dir).select(*columns, F.explode(F.split("text", _SPACES)).alias("word")).where("word <> ''")
 
 
 @query(rf"SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(text, '{_SPACES}')) AS word FROM documents) WHERE word <> '' GROUP BY ALL HAVING count(*) >= 3")

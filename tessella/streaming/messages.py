@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tessella import fixed
 from tessella.functions import text as X
@@ -20,7 +23,7 @@ def first_of_each(messages: DataFrame, late: str) -> DataFrame:
     """The first message of each id; state is kept no longer than ``late``.
 
     Of a stream, messages older by more than ``late`` than the newest read
-    before are dropped (late_rows counts them): choose it by how far files can
+    before are dropped (LateRows counts them): choose it by how far files can
     land out of order.  A backlog read as a batch loses nothing.
     """
     if not messages.isStreaming:
@@ -28,9 +31,35 @@ def first_of_each(messages: DataFrame, late: str) -> DataFrame:
     return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def late_rows(query) -> int:
-    """Rows that a query's watermarks have dropped so far, of the progress that Spark still holds."""
-    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts what the watermarks of all queries drop, from every report of progress, while it is on: ``with LateRows(spark) as late``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._dropped = spark, Counter()
+
+    def __enter__(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
+
+    def of(self, query) -> int:
+        """Rows that a query has dropped so far, in all its batches."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        return self._dropped[str(query.id)]
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self._dropped[str(event.progress.id)] += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
 
 
 def bucket_counts(messages: DataFrame, late: str, width: str = "1 hour") -> DataFrame:

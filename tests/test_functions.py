@@ -161,9 +161,10 @@ def test_stream(spark, tmp_path, order):
     def counted(late):
         stream = messages.first_of_each(landed(), late)
         counts = stream.withColumn("bucket", X.length_bucket("content", 50, ["确认"])).groupBy("bucket").count()
-        query = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
-        query.awaitTermination()
-        return {r.bucket: r["count"] for r in spark.table("counts").collect()}, messages.late_rows(query)
+        with messages.LateRows(spark) as late_rows:
+            query = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
+            query.awaitTermination()
+            return {r.bucket: r["count"] for r in spark.table("counts").collect()}, late_rows.of(query)
 
     whole = {"daily": 3, "long": 1, "decision": 1}
     assert counted("1 day") == (whole, 0)
@@ -173,11 +174,29 @@ def test_stream(spark, tmp_path, order):
         assert (found, late) == (whole, 0)
     backlog = messages.first_of_each(spark.read.schema(messages.SCHEMA).json(str(land)), "10 minutes")
     assert {r.bucket: r["count"] for r in backlog.withColumn("bucket", X.length_bucket("content", 50, ["确认"])).groupBy("bucket").count().collect()} == whole
-    done = messages.write(messages.bucket_counts(landed(), "10 minutes" if order == ("1", "2", "3") else "3 hours"), str(tmp_path / "out"), str(tmp_path / "cp"))
-    done.awaitTermination()
-    if order == ("1", "2", "3"):
-        got = spark.read.parquet(str(tmp_path / "out")).where("date_format(start, 'HH') = '10'")
-        assert {r.bucket: r.n for r in got.collect()} == {"daily": 2, "long": 1, "decision": 1}
+    # A day later all windows close, in any order of the files before, since the delay is longer than what they lie apart.
+    (land / "4.json").write_text(say(9, "10:00", "the next day").replace("2024-01-01", "2024-01-02"))
+    os.utime(land / "4.json", (1_700_000_600,) * 2)
+    messages.write(messages.bucket_counts(landed(), "12 hours"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r.h, r.bucket): r.n for r in spark.read.parquet(str(tmp_path / "out")).selectExpr("date_format(start, 'HH') AS h", "bucket", "n").collect()}
+    assert got == {("10", "daily"): 2, ("10", "long"): 1, ("10", "decision"): 1, ("12", "daily"): 1, ("15", "daily"): 1}
+
+
+def test_late_rows_of_more_batches_than_spark_remembers(spark, tmp_path):
+    """One file sets the watermark, thirty bring one late message each; Spark is told to keep two reports."""
+    for i in range(31):
+        at = "2024-01-02T10:00:00Z" if i == 0 else f"2024-01-01T10:{i:02d}:00Z"
+        (tmp_path / f"{i:02d}.json").write_text(json.dumps({"id": str(i), "sender": "Ann", "content": "hello", "ts": at}))
+        os.utime(tmp_path / f"{i:02d}.json", (1_700_000_000 + 60 * i,) * 2)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        with messages.LateRows(spark) as late:
+            stream = messages.first_of_each(messages.landed(spark, str(tmp_path), files_per_trigger=1), "1 hour")
+            query = stream.writeStream.format("memory").queryName("kept").trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert len(query.recentProgress) == 2 and late.of(query) == 31 - spark.table("kept").count() >= 29
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
 
 
 def test_html_text(spark):
