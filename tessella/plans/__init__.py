@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tessella.plans import messages, records, research, rules, scans, texts  # noqa: E402,F401
+from tessella.plans import messages, parsed, records, research, rules, scans, texts  # noqa: E402,F401
