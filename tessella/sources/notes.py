@@ -23,7 +23,7 @@ def track(name: Column | str) -> Column:
 def spoken_lines(rows: DataFrame, key: str, subtitles: str) -> DataFrame:
     """key, _i, _x: spoken lines of SRT or VTT, a row each: no header, notes, numbers, times, tags and settings."""
     body = F.regexp_replace(F.regexp_replace(subtitles, f"(?s){fixed.SUBTITLE_HEADER}", ""), f"(?ms){fixed.SUBTITLE_NOTE}", "")
-    each = rows.select(key, body.alias("_body")).select(key, F.posexplode(X.lines("_body")).alias("_i", "_x")).withColumn("_x", X.strip("_x"))
+    each = rows.select(key, body.alias("_body")).select(key, F.posexplode(F.transform(X.lines("_body"), X.strip)).alias("_i", "_x"))
     kept = each.where((F.col("_x") != "") & ~F.rlike("_x", F.lit("^[0-9]+$")) & ~F.rlike("_x", F.lit(fixed.SUBTITLE_CUE)))
     tagless = F.when(F.contains("_x", F.lit("<")), F.regexp_replace("_x", fixed.SUBTITLE_TAG, "")).otherwise(F.col("_x"))
     plain = F.when(F.contains("_x", F.lit(":")), F.regexp_replace(tagless, fixed.SUBTITLE_SETTING, "")).otherwise(tagless)
@@ -39,15 +39,25 @@ def collapsed(each: DataFrame, key: str, lines: str) -> DataFrame:
 
 
 def paragraphs(lines: Column, least: int = 240) -> Column:
-    """Lines joined by spaces until they are ``least`` characters or one ends a sentence."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(acc: Column, line: Column) -> Column:
-        joined = F.when(acc.open == "", line).otherwise(F.concat(acc.open, F.lit(" "), line))
-        full = (F.length(joined) >= least) | F.rlike(line, F.lit("[.!?。！？]$"))
-        return F.struct(F.when(full, F.concat(acc.done, F.array(joined))).otherwise(acc.done).alias("done"), F.when(full, F.lit("")).otherwise(joined).alias("open"))
-
-    return F.aggregate(lines, empty, add, lambda acc: F.when(acc.open == "", acc.done).otherwise(F.concat(acc.done, F.array(acc.open))))
+    """Lines joined by spaces until they are ``least`` characters or one ends a sentence.
+
+    The fold over the lines keeps a mark for each, and none of their text:
+    paragraphs are cut at the marks afterwards.
+    """
+    sizes = F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), F.rlike(x, F.lit("[.!?。！？]$")).alias("ends")))
+
+    def mark(acc: Column, line: Column) -> Column:
+        joined = F.when(acc.open == 0, line["n"]).otherwise(acc.open + 1 + line["n"])
+        full = (joined >= least) | line["ends"]
+        return F.struct(F.concat(acc.marks, F.when(full, "1").otherwise("0")).alias("marks"), F.when(full, 0).otherwise(joined).alias("open"))
+
+    marks = F.aggregate(sizes, F.struct(F.lit("").alias("marks"), F.lit(0).alias("open")), mark, lambda acc: acc.marks)
+    # The last line ends a paragraph in any case.  An array of one stands for a name that lambdas can use again.
+    last = lambda m: F.concat(F.substring(m, F.lit(1), F.length(m) - 1), F.lit("1"))
+    cuts = F.transform(F.array(last(marks)), lambda m: F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: F.substring(m, i, F.lit(1)) == "1"))
+    begin = lambda at, i: F.when(i == 0, 1).otherwise(F.get(at, i - 1) + 1)
+    joined = F.transform(cuts, lambda at: F.transform(at, lambda end, i: F.array_join(F.slice(lines, begin(at, i), end - begin(at, i) + 1), " ")))
+    return F.when(F.size(lines) > 0, joined[0]).otherwise(F.array().cast("array<string>"))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
