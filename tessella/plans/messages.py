@@ -59,10 +59,12 @@ def k5_length_split(spark, sf_dir):
 _CASES = " ".join(f"WHEN list_has_any(tokens, {w}) THEN '{c}'" for c, w in fixed.CATEGORIES.items())
 
 
-@query(f"""WITH n AS (SELECT page_id, url, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1)
+_CATEGORISED = f"""n AS (SELECT page_id, url, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1)
   || CASE page_id % 5 WHEN 0 THEN 'MyGmail' WHEN 1 THEN '-strava' WHEN 2 THEN '.threads' WHEN 3 THEN 'Email' ELSE '' END, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: t <> '') AS tokens FROM pages),
-c AS (SELECT page_id, CASE {_CASES} ELSE 'unknown' END AS category FROM n)
-SELECT page_id, category, category IN ('health', 'finance') AS sensitive FROM c""")
+c AS (SELECT page_id, CASE {_CASES} ELSE 'unknown' END AS category FROM n)"""
+
+
+@query(f"""WITH {_CATEGORISED} SELECT page_id, category, category IN ('health', 'finance') AS sensitive FROM c""")
 def k6_source_category(spark, sf_dir):
     """Category of a source by the whole tokens of its name: the host with a name put behind it."""
     more = F.element_at(F.array(*map(F.lit, ["MyGmail", "-strava", ".threads", "Email", ""])), (F.col("page_id") % 5 + 1).cast("int"))
@@ -76,6 +78,17 @@ def k6_source_category(spark, sf_dir):
     return found.withColumn("sensitive", F.col("category").isin(*fixed.SENSITIVE))
 
 
+_NOTES = ", ".join("('" + "', '".join(x.replace("'", "''") for x in (c, *notes)) + "')" for c, notes in fixed.SOURCE_NOTES.items())
+
+
+@query(f"""WITH {_CATEGORISED} SELECT category, any_value(reads) AS reads, any_value(learns) AS learns, bool_or(category IN ('health', 'finance')) AS sensitive, count(*) AS pages FROM c JOIN (VALUES {_NOTES}) v(k, reads, learns) ON k = category GROUP BY category""")
+def k6_described_categories(spark, sf_dir):
+    """What to read of the sources of each category that was found, what it tells, and how many there are."""
+    counted = k6_source_category(spark, sf_dir).groupBy("category").agg(F.bool_or("sensitive").alias("sensitive"), F.count("*").alias("pages"))
+    note = F.element_at(F.create_map(*(x for c, (reads, learns) in fixed.SOURCE_NOTES.items() for x in (F.lit(c), F.struct(F.lit(reads).alias("reads"), F.lit(learns).alias("learns"))))), F.col("category"))
+    return counted.withColumn("note", note).select("category", "note.reads", "note.learns", "sensitive", "pages")
+
+
 def _name_score(name, probe):
     letters = F.filter(F.split(F.lit(probe), ""), lambda ch: (ch != "") & (ch != " "))
     return F.when(name == probe, 3).when(F.contains(name, F.lit(probe)), 2).when(F.forall(letters, lambda ch: F.contains(name, ch)), 1).otherwise(0)

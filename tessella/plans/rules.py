@@ -118,6 +118,15 @@ def r7_checkpoint_matrix(spark, sf_dir):
     return rolled.select(F.when(F.col("g") == 1, "all").otherwise(F.col("lang")).alias("dimension"), "sources", "ratio")
 
 
+@query("""WITH c AS (SELECT source, lang, count(*) AS sources, round_even(100.0 * count(*) FILTER (doc_id % 3 = 0) / count(*), 0)::BIGINT AS ratio FROM documents GROUP BY ALL)
+SELECT source, sum(sources)::BIGINT AS sources, coalesce(string_agg(lang, ',' ORDER BY lang) FILTER (ratio < 50), '') AS thin FROM c GROUP BY source""")
+def r7_thin_dimensions(spark, sf_dir):
+    """Dimensions of each topic under half of whose sources are primary, to be filled up."""
+    each = _docs(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("sources"), X.percent(F.count_if(F.col("doc_id") % 3 == 0), F.count("*")).alias("ratio"))
+    thin = F.array_join(F.sort_array(F.collect_list(F.when(F.col("ratio") < fixed.AUDIT_LEAST["primary"], F.col("lang")))), ",")
+    return each.groupBy("source").agg(F.sum("sources").alias("sources"), thin.alias("thin"))
+
+
 @query("""WITH c AS (SELECT source, count(*) AS n, 100.0 * count(*) FILTER (doc_id % 3 = 0) / count(*) AS ratio, count(DISTINCT lang) AS tensions, bool_or(doc_id % 97 = 0) AS listed FROM documents GROUP BY source)
 SELECT source, concat_ws(',', CASE WHEN ratio < 34 THEN 'primary' END, CASE WHEN n < 50 THEN 'urls' END, CASE WHEN tensions < 4 THEN 'tensions' END, CASE WHEN listed THEN 'blacklist' END) AS reasons FROM c""")
 def r8_audit(spark, sf_dir):

@@ -116,16 +116,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(lines):
             continue
         marks = pc.starts_with(lines, pattern=b"From ").to_numpy(zero_copy_only=False)
-        place = list(zip(batch["path"].to_pylist(), batch["block"].to_pylist(), strict=True))
-        turns = [i for i in range(len(place)) if i == 0 or place[i] != place[i - 1]]
+        paths, blocks = batch["path"].dictionary_encode(), batch["block"].to_numpy()
+        path = paths.indices.to_numpy()
+        turns = [0, *(np.flatnonzero((path[1:] != path[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist()]
         ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
         bytes_ = lines.buffers()[2]
         cuts = sorted({*turns, *np.flatnonzero(marks).tolist()})
         for at, end in zip(cuts, [*cuts[1:], len(lines)], strict=True):
-            if place[at] != where:
+            place = paths.dictionary[path[at]].as_py(), int(blocks[at])
+            if place != where:
                 if where:
                     done.append(piece(True))
-                where, n, begun, held = place[at], 0, False, []
+                where, n, begun, held = place, 0, False, []
             if marks[at]:
                 done.append(piece(False))
                 n, begun, held, at = n + 1, True, [], at + 1
