@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -38,12 +39,15 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.at = self.root = Element("", {}, None)
+        self.open = Counter()  # so that a deep page isn't climbed for an element that isn't open
 
     def _close(self, tags: set[str], within: set[str]) -> None:
         node = self.at
-        while node.parent is not None and node.tag not in within:
+        while any(self.open[t] for t in tags) and node.parent is not None and node.tag not in within:
             if node.tag in tags:
-                self.at = node.parent
+                while self.at is not node.parent:
+                    self.open[self.at.tag] -= 1
+                    self.at = self.at.parent
                 return
             node = node.parent
 
@@ -57,6 +61,7 @@ class _Tree(HTMLParser):
         self.at.children.append(element)
         if tag not in VOID:
             self.at = element
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
