@@ -1,13 +1,17 @@
 """Language-model scoring: subword lattice likelihood.
 
 The vocabulary is that of an existing tokenizer, pieces of bytes with scores.
-All segmentations of a word into pieces count: a forward recursion over its
-bytes, in log space, sums their products to the word's marginal probability.
-Expectation-maximisation over the training words turns the tokenizer's scores
-into piece probabilities.  Words of the training texts are pieces of the
-lattice too: a share of each count (absolute discounting) goes to the segmented
-part, so a seen word keeps its own evidence and an unseen one has the sum over
-its segmentations.
+The scores weight all segmentations of a word into pieces: a forward recursion
+over its bytes, in log space, sums their products to the word's marginal
+probability.  Scores of a unigram vocabulary are logs of probabilities and
+weight as they are (scores="log", made to sum to 1); those of a merge
+vocabulary only order the pieces, and the order gives the weights
+(scores="rank").  Rounds of expectation-maximisation over the training words
+may follow; rounds=0 leaves the vocabulary's own weights.  With whole_words,
+words of the training texts are pieces of the lattice too: a share of each
+count (absolute discounting) goes to the segmented part, so a seen word keeps
+its own evidence and an unseen one has the sum over its segmentations.
+Without, the lattice of pieces alone gives each word's probability.
 
 Training texts are learned by language, each with probabilities of its own.  A
 text's probability is the marginal over segmentations and over the language,
@@ -23,7 +27,8 @@ by sums over arrays.  Text itself is never shuffled.
 Defined results: null and empty texts are an end only; texts of null and rarer
 languages are learned as one more language; without training texts the
 segmented part has all the weight; repeated rows are documents of their own; a
-null doc_id counts as held in; texts and words of any length are read whole;
+null doc_id counts as held in; texts and words of any length are read whole (a
+word takes 8 bytes of memory for each of its own, 16 where it is learned from);
 other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
@@ -31,6 +36,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import Counter, defaultdict
 from itertools import count
 
@@ -45,16 +51,14 @@ from tessella.llm.common import materialise, text_or_empty
 BLOCK_BYTES = 32 << 20
 #: Rounds of expectation-maximisation.
 ROUNDS = 3
-#: Languages that are learned apart at most.
-LANGUAGES = 8
+#: A language with at least one in so many training texts is learned apart.
+LANGUAGE_SHARE = 64
 #: Cells (words x bytes) that are worked on at a time, and words that are gathered for it.
 CELLS, GATHERED = 1 << 18, 1 << 16
-#: Bytes of a word up to which probabilities can't leave the range of a double; longer words carry the log of a scale.
+#: Bytes of a word up to which a matrix holds words of one length; longer ones of near lengths share one.
 SHORT = 24
 #: Bytes of a word above which its places are worked through in windows, each of WINDOW places.
 LONG, WINDOW = 2048, 1 << 15
-#: Natural log of the least product of piece probabilities over one piece's length, or over SHORT bytes.
-DEEPEST = -690.0
 #: The end of a text, a token that no word can be.
 END = b" "
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,11 +82,25 @@ def read_pieces(model_path: str) -> dict[bytes, float]:
     return found | {bytes([b]): low for b in range(256) if bytes([b]) not in found}
 
 
-def first_guess(pieces: dict[bytes, float]) -> np.ndarray:
-    """Natural logs of piece probabilities by rank of score, for scores that only order the pieces."""
-    rank = np.argsort(np.argsort(-np.array(list(pieces.values())), kind="stable"))
-    weight = 1.0 / (rank + 10.0)
-    return np.log(weight / weight.sum())
+def first_guess(pieces: dict[bytes, float], scores: str = "rank") -> np.ndarray:
+    """Natural logs of piece probabilities: the scores themselves ("log"), or by their rank, where they only order the pieces ("rank")."""
+    if scores not in ("rank", "log"):
+        raise ValueError(f"scores are 'rank' or 'log', not {scores!r}")
+    log = np.array(list(pieces.values()))
+    if scores == "rank":
+        log = -np.log(np.argsort(np.argsort(-log, kind="stable")) + 10.0)
+    return log - np.logaddexp.reduce(log)
+
+
+def _log_sum(row: np.ndarray, ways: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Logs of sums into row: of the exponentials of all ways to its places, by the greatest, so that none leaves a double's range."""
+    for at, way in ways:
+        row[at] = np.maximum(row[at], way)
+    top, total = np.where(np.isneginf(row), 0.0, row), np.zeros(len(row))
+    for at, way in ways:
+        total[at] += np.exp(way - top[at])
+    with np.errstate(divide="ignore"):
+        row[:] = top + np.log(total)
 
 
 class Lattice:
@@ -96,8 +114,7 @@ class Lattice:
     def __init__(self, pieces: list[bytes], logs: np.ndarray):
         sizes = np.array(list(map(len, pieces)))
         self.longest, self.sizes = int(sizes.max()), np.unique(sizes).tolist()
-        self.logs = np.maximum(np.atleast_2d(np.asarray(logs, dtype=float)), DEEPEST / max(self.longest, SHORT))
-        self.probabilities = np.exp(self.logs)
+        self.logs = np.atleast_2d(np.asarray(logs, dtype=float))
         # Eight bytes from the places 0, 8, ... and from the last that has eight: together the whole piece.
         self._eights: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self._slots = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
@@ -168,55 +185,39 @@ class Lattice:
                 out.append((size, cell, piece))
         return out
 
-    def _forward(self, arcs: list, model: int, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(alpha, scale), places first: the sum over all segmentations of what stands before each place is alpha * exp(scale)."""
-        alpha, scale = np.zeros((width + 1) * n), np.zeros((width + 1, n))
-        alpha[:n] = 1.0
-        score = [self.probabilities[model][piece] for _, _, piece in arcs]
+    def _forward(self, arcs: list, model: int, n: int, width: int) -> np.ndarray:
+        """Natural logs, places first: of the sum over all segmentations of what stands before each place."""
+        alpha = np.full((width + 1) * n, -np.inf)
+        alpha[:n] = 0.0
+        score = [self.logs[model][piece] for _, _, piece in arcs]
         bounds = [np.searchsorted(cell, np.arange(width + 1) * n).tolist() for _, cell, _ in arcs]
         for end in range(1, width + 1):
-            row = alpha[end * n : (end + 1) * n]
+            ways = []
             for (size, cell, _), p, bound in zip(arcs, score, bounds, strict=True):
                 begin = end - size
                 if begin < 0:
                     break
                 lo, hi = bound[begin], bound[begin + 1]
-                if hi - lo == n:
-                    row += alpha[begin * n : begin * n + n] * p[lo:hi]
-                elif hi > lo:
-                    row[cell[lo:hi] - begin * n] += alpha[cell[lo:hi]] * p[lo:hi]
-            if width > SHORT:
-                scale[end] = scale[end - 1]
-                if end % 8 == 0:  # the places that are still looked at come to a scale on which this one is 1
-                    first = max(0, end - self.longest + 1)
-                    with np.errstate(divide="ignore"):
-                        logs = np.where(row > 0, np.log(row), 0.0)
-                    alpha[first * n : (end + 1) * n] = (alpha[first * n : (end + 1) * n].reshape(-1, n) * np.exp(-logs)).reshape(-1)
-                    scale[first : end + 1] += logs
-        return alpha, scale
-
-    def _backward(self, arcs: list, model: int, n: int, width: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        beta, scale = np.zeros((width + 1) * n), np.zeros((width + 1, n))
-        beta[sizes * n + np.arange(n)] = 1.0
-        score = [self.probabilities[model][piece] for _, _, piece in arcs]
+                if hi > lo:
+                    ways.append((cell[lo:hi] - begin * n, alpha[cell[lo:hi]] + p[lo:hi]))
+            _log_sum(alpha[end * n : (end + 1) * n], ways)
+        return alpha
+
+    def _backward(self, arcs: list, model: int, n: int, width: int, sizes: np.ndarray) -> np.ndarray:
+        """The same of what stands from each place to its word's end."""
+        beta = np.full((width + 1) * n, -np.inf)
+        score = [self.logs[model][piece] for _, _, piece in arcs]
         bounds = [np.searchsorted(cell, np.arange(width + 1) * n).tolist() for _, cell, _ in arcs]
-        for begin in range(width - 1, -1, -1):
-            row = beta[begin * n : (begin + 1) * n]
+        for begin in range(width, -1, -1):
+            ways = []
             for (size, cell, _), p, bound in zip(arcs, score, bounds, strict=True):
-                lo, hi = bound[begin], bound[begin + 1]
-                if hi - lo == n:
-                    row += beta[(begin + size) * n : (begin + size + 1) * n] * p[lo:hi]
-                elif hi > lo:
-                    row[cell[lo:hi] - begin * n] += beta[cell[lo:hi] + size * n] * p[lo:hi]
-            if width > SHORT:
-                scale[begin] = scale[begin + 1]
-                if begin % 8 == 0:
-                    last = min(width, begin + self.longest - 1)
-                    with np.errstate(divide="ignore"):
-                        logs = np.where(row > 0, np.log(row), 0.0)
-                    beta[begin * n : (last + 1) * n] = (beta[begin * n : (last + 1) * n].reshape(-1, n) * np.exp(-logs)).reshape(-1)
-                    scale[begin : last + 1] += logs
-        return beta, scale
+                lo, hi = bound[begin], bound[min(begin + 1, width)]
+                if hi > lo:
+                    ways.append((cell[lo:hi] - begin * n, beta[cell[lo:hi] + size * n] + p[lo:hi]))
+            row = beta[begin * n : (begin + 1) * n]
+            _log_sum(row, ways)
+            row[sizes == begin] = 0.0
+        return beta
 
     def batches(self, words: list[bytes]):
         """(places in words, matrix of bytes, lengths) for words of up to LONG bytes and near length, zeros after the shorter ones."""
@@ -254,8 +255,7 @@ class Lattice:
             n, width = data.shape
             arcs, last = self._own_arcs(data, sizes), sizes * n + np.arange(n)
             for k in range(len(self.logs)):
-                alpha, scale = self._forward(arcs, k, n, width)
-                out[k, places] = np.log(alpha[last]) + scale.reshape(-1)[last]
+                out[k, places] = self._forward(arcs, k, n, width)[last]
         for i, w in enumerate(words):
             if len(w) > LONG:
                 out[:, i] = [self._long(w, k)[-1] for k in range(len(self.logs))]
@@ -267,13 +267,10 @@ class Lattice:
         for _, data, sizes in self.batches(words):
             n, width = data.shape
             arcs, last = self._own_arcs(data, sizes), sizes * n + np.arange(n)
-            alpha, up = self._forward(arcs, model, n, width)
-            beta, down = self._backward(arcs, model, n, width, sizes)
-            whole, up, down = 1.0 / alpha[last], up.reshape(-1), down.reshape(-1)
+            alpha, beta = self._forward(arcs, model, n, width), self._backward(arcs, model, n, width, sizes)
+            whole = alpha[last]
             for size, cell, piece in arcs:
-                use = alpha[cell] * self.probabilities[model][piece] * beta[cell + size * n] * whole[cell % n]
-                if width > SHORT:
-                    use *= np.exp(up[cell] + down[cell + size * n] - up[last][cell % n])
+                use = np.exp(alpha[cell] + self.logs[model][piece] + beta[cell + size * n] - whole[cell % n])
                 total += np.bincount(piece, weights=use, minlength=len(total))
         for w in words:
             if len(w) > LONG:
@@ -293,19 +290,19 @@ class Lattice:
         own = own[np.argsort(end[own], kind="stable")]
         return begin[own].tolist(), end[own].tolist(), piece[own].tolist()
 
-    def _long(self, word: bytes, model: int) -> np.ndarray:
+    def _long(self, word: bytes, model: int) -> array:
         """Logs of alpha at each place of a very long word; the pieces of one window are held at a time."""
-        logs, alpha = self.logs[model].tolist(), [-math.inf] * (len(word) + 1)
+        logs, alpha = self.logs[model].tolist(), array("d", [-math.inf]) * (len(word) + 1)
         alpha[0] = 0.0
         for first in self._windows(word):
             for begin, end, piece in zip(*self._window_arcs(word, first), strict=True):
                 way, now = alpha[begin] + logs[piece], alpha[end]
                 alpha[end] = way if now == -math.inf else max(way, now) + math.log1p(math.exp(-abs(way - now)))
-        return np.array(alpha)
+        return alpha
 
     def _long_uses(self, word: bytes, model: int) -> np.ndarray:
-        alpha, logs, total = self._long(word, model).tolist(), self.logs[model].tolist(), [0.0] * self.logs.shape[1]
-        beta = [-math.inf] * (len(word) + 1)
+        alpha, logs, total = self._long(word, model), self.logs[model].tolist(), [0.0] * self.logs.shape[1]
+        beta = array("d", [-math.inf]) * (len(word) + 1)
         beta[-1] = 0.0
         for first in reversed(self._windows(word)):
             for begin, end, piece in zip(*(reversed(x) for x in self._window_arcs(word, first)), strict=True):
@@ -320,11 +317,13 @@ def trains(doc_id: str = "doc_id") -> Column:
 
 
 def _languages(docs: DataFrame) -> tuple[list[str], int]:
-    """The most frequent languages of the training texts, and the number of models: one more where other texts (or none) are there."""
-    counted = docs.where(trains()).groupBy("lang").count().orderBy(F.col("lang").isNull(), F.desc("count"), "lang")
-    first = [r.lang for r in counted.limit(LANGUAGES + 1).collect()]
-    known = [x for x in first[:LANGUAGES] if x is not None]
-    return known, len(known) + (len(known) < len(first) or not known)
+    """The languages of one in LANGUAGE_SHARE training texts and more, and the number of models: one more where other texts (or none) are there."""
+    counted = docs.where(trains()).rollup("lang").agg(F.count("*").alias("n"), F.grouping_id().alias("all"))
+    # The first row counts all texts; so few languages have that share that the limit loses none.
+    first = counted.orderBy(F.desc("all"), F.desc("n"), "lang").limit(LANGUAGE_SHARE + 1).collect()
+    total = sum(r.n for r in first if r["all"])
+    known = [r for r in first if not r["all"] and r.lang is not None and r.n * LANGUAGE_SHARE >= total]
+    return [r.lang for r in known], len(known) + (sum(r.n for r in known) < total or not known)
 
 
 def _block_schema(models: int) -> tuple[pa.Schema, str]:
@@ -402,9 +401,9 @@ def gathered(batches, rows: int = GATHERED):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def fit_pieces(types: DataFrame, pieces: dict[bytes, float], models: int, rounds: int = ROUNDS) -> np.ndarray:
+def fit_pieces(types: DataFrame, pieces: dict[bytes, float], models: int, rounds: int = ROUNDS, scores: str = "rank") -> np.ndarray:
     """models x pieces: natural logs of probabilities after EM over each model's training words, each distinct word once."""
-    names, logs = list(pieces), np.tile(first_guess(pieces), (models, 1))
+    names, logs = list(pieces), np.tile(first_guess(pieces, scores), (models, 1))
     context = types.sparkSession.sparkContext
     trained = types.where(F.col("word") != F.lit(END)).select("word", *(F.col(f"c{k}") for k in range(models)))
     for _ in range(rounds):
@@ -442,7 +441,7 @@ def word_logs(log_mass: np.ndarray, counts: np.ndarray, own: np.ndarray, discoun
     return np.where(n > 0, np.logaddexp(seen, rest + log_mass), log_mass)
 
 
-def score(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS, scores: str = "rank", whole_words: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs (doc_id, lang, text)."""
     context, (languages, models) = docs.sparkSession.sparkContext, _languages(docs)
     each = [f"c{k}" for k in range(models)]
@@ -456,19 +455,26 @@ def score(docs: DataFrame, model_path: str, block_bytes: int = BLOCK_BYTES, roun
     own = np.array(own, dtype=float).reshape(models, 4)
     ends = types.where(F.col("word") == F.lit(END)).select(*each).first() or [0] * models  # texts of each model
     share = (np.array(list(ends), dtype=float) + 1) / (sum(ends) + models)
+    ending = (np.array([list(ends)], dtype=float).T + 1) / (own[:, :1] + 2)  # the end's share of a model's tokens
     discount = np.clip(own[:, 2] / np.maximum(own[:, 2] + 2 * own[:, 3], 1), 0.1, 0.95)
     pieces = read_pieces(model_path)
-    model = context.broadcast((list(pieces), fit_pieces(types, pieces, models, rounds)))
+    model = context.broadcast((list(pieces), fit_pieces(types, pieces, models, rounds, scores)))
 
     def segmented(batches):
         lattice, end = Lattice(*model.value), 1.0 / len(model.value[0])
         for b in gathered(batches):
             words = b.column("word").to_pylist()
             # The lattice gives all words together a mass of 1, so the end's share is taken from them.
-            mass = lattice.log_probabilities([b" " + w for w in words]) + math.log1p(-end)
-            mass[:, [w == END for w in words]] = math.log(end)
+            mass, is_end = lattice.log_probabilities([b" " + w for w in words]), [w == END for w in words]
             c = np.array([b.column(x).to_numpy() for x in each], dtype=float)
-            logs = (word_logs(mass, c, own, discount) / math.log(10)).astype("<f4")
+            if whole_words:
+                mass += math.log1p(-end)
+                mass[:, is_end] = math.log(end)
+                mass = word_logs(mass, c, own, discount)
+            else:
+                mass += np.log1p(-ending)
+                mass[:, is_end] = np.log(ending)
+            logs = (mass / math.log(10)).astype("<f4")
             yield from pa.Table.from_arrays([b.column("word"), pa.array(c.sum(axis=0).astype(np.int64)), pa.array([x.tobytes() for x in logs.T], pa.binary())], names=["word", "c", "logs"]).to_batches()
 
     scored = types.mapInArrow(segmented, "word binary, c long, logs binary")

@@ -412,6 +412,78 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(sum(u * len(x) for u, x in zip(uses, pieces, strict=True)), 4)
 
 
+def test_lattice_without_floor():
+    """Scores as logs weight as they are, also far below what a double holds."""
+    scores = {b"a": -900.0, b"b": -2000.0, b"ab": -30.0, b" ": -5000.0, b" a": -40.0}
+    log = lattice.first_guess(scores, "log")
+    assert np.allclose(log - log[2], np.array(list(scores.values())) + 30) and math.isclose(np.logaddexp.reduce(log), 0, abs_tol=1e-12)
+    model = lattice.Lattice(list(scores), log)
+    at = dict(zip(scores, log, strict=True))
+    found = model.log_probabilities([b" ab", b" ba", b" "])[0]
+    assert np.allclose(found, [np.logaddexp.reduce([at[b" "] + at[b"a"] + at[b"b"], at[b" a"] + at[b"b"], at[b" "] + at[b"ab"]]), at[b" "] + at[b"b"] + at[b"a"], at[b" "]], rtol=1e-12)
+    assert found.min() < -4000 and np.allclose(model.expected([b" ba"]), [1, 1, 0, 1, 0])
+    with pytest.raises(ValueError, match="other"):
+        lattice.first_guess(scores, "other")
+
+
+@pytest.mark.parametrize(("whole_words", "rounds"), [(True, 0), (False, 0), (True, 2)])
+def test_lattice_documents_by_brute_force(spark, whole_words, rounds):
+    """Documents of several words, seen and unseen, in two languages and a null one: sums over languages and all segmentations."""
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(100) if i not in train]
+    own = [("en", "the cat sat on the mat"), ("en", "the dog sat"), ("de", "die katze sitzt die matte"), (None, "el gato"), ("en", "")]
+    ask = ["the cat sitzt", "die dogs unseen", "", "THE\tgato  gato"]
+    rows = [(i, t, lang, "a") for i, (lang, t) in zip(train, own, strict=False)] + [(i, t, "en", "a") for i, t in zip(held, ask, strict=False)]
+    found = {r.doc_id: r.score for r in lattice.score(frame(spark, rows), PIECES, rounds=rounds, whole_words=whole_words).where("held_out").collect()}
+    pieces = lattice.read_pieces(PIECES)
+    longest = max(map(len, pieces))
+
+    def ways(word):
+        """All segmentations."""
+        return [[]] if not word else [[word[:k], *rest] for k in range(1, min(longest, len(word)) + 1) if word[:k] in pieces for rest in ways(word[k:])]
+
+    result = dict.fromkeys(held[: len(ask)], 0.0)
+    for lang in ("en", "de", None):
+        texts = [t.split() for x, t in own if x == lang]
+        c = Counter(w for t in texts for w in t)
+        p = dict(zip(pieces, np.exp(lattice.first_guess(pieces)), strict=True))
+        for _ in range(rounds):
+            uses = Counter()
+            for w in c:
+                each = ways(b" " + w.encode())
+                weight = [math.prod(p[x] for x in way) for way in each]
+                for way, x in zip(each, weight, strict=True):
+                    for piece in way:
+                        uses[piece] += x / sum(weight)
+            total = sum(uses.values()) + 0.01 * len(pieces)
+            p = {x: (uses[x] + 0.01) / total for x in pieces}
+        n, types = c.total() + len(texts), len(c) + 1
+        once, twice = (sum(x == k for x in [*c.values(), len(texts)]) for k in (1, 2))
+        d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+
+        def token(word):
+            mass = 1 / len(pieces) if word is None else sum(math.prod(p[x] for x in way) for way in ways(b" " + word.encode()))
+            if not whole_words:
+                end = (len(texts) + 1) / (n + 2)
+                return end if word is None else (1 - end) * mass
+            mass = mass if word is None else mass * (1 - 1 / len(pieces))
+            return (max((len(texts) if word is None else c[word]) - d, 0) + d * types * mass) / n
+
+        for i, t in zip(result, ask, strict=False):
+            result[i] += (len(texts) + 1) / (len(own) + 3) * math.prod(token(w) for w in [*t.translate(LOW).split(), None])
+    assert found.keys() == result.keys() and all(math.isclose(found[i], math.log10(x), rel_tol=1e-6) for i, x in result.items())
+
+
+def test_lattice_languages_by_share(spark):
+    """A language is learned apart from one training text in 64 on, however many there are; the others share a model."""
+    train = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    names = [f"l{k:02d}" for k in range(20) for _ in range(100)] + ["rare"] * 5
+    docs = spark.createDataFrame(list(zip(train, names, strict=False)), "doc_id long, lang string")
+    assert lattice._languages(docs) == ([f"l{k:02d}" for k in range(20)], 21)
+    assert lattice._languages(docs.where("lang <> 'rare'")) == ([f"l{k:02d}" for k in range(20)], 20)
+    assert lattice._languages(docs.where("lang IS NULL")) == ([], 1)
+
+
 def test_lattice_of_every_length(monkeypatch):
     """Short words in doubles, longer ones with scales, very long ones in windows: the same sums and uses, with padding and without."""
     pieces = lattice.read_pieces(PIECES)
